@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import orphans
+from tallyforge.operators import instants, orphans
 from tallyforge.session import table
 
 
@@ -24,4 +24,12 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_orphan_orders(spark, d), table="orders_qa", time="createdAtTimestamp")
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    feeds = table(spark, d, "feeds")
+    customers = {"createdAtTimestamp": 1, "timestamp_micro": 1, "timestamp_millis": 1000}
+    return instants.normalise_instants(table(spark, d, "customers_qa"), feeds, row_id="row_id", feed_id="feed_id", fields=customers, source="customers_qa").unionByName(
+        instants.normalise_instants(table(spark, d, "users"), feeds, row_id="row_id", feed_id="feed_id", fields={"reg_date": 1}, source="users")
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found}
