@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import instants, orphans
+from tallyforge.operators import instants, multivalue, orphans, rowcheck, shredding
 from tallyforge.session import table
 
 
@@ -32,4 +32,52 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    campaigns = shredding.shred_viewport(table(spark, d, "viewport_event"), "campaigns")
+    return campaigns.where("assetId <> ''").select("row_id", "event_pos", "element_pos", F.col("assetId").alias("asset_id"))
+
+
+def _shredded(which: str):
+    return lambda spark, d: shredding.shred_viewport(table(spark, d, "viewport_event"), which)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = rowcheck.failing_lines(table(spark, d, "raw_lines"), [rowcheck.CUSTOMER_ROW, rowcheck.USER_ROW])
+    parts = [lines.select(F.lit("raw_lines").alias("source_table"), "row_id", "reason")]
+    for name, column, good in (("customers_qa", "height", rowcheck.HEIGHT), ("users", "item_count", rowcheck.ITEM_COUNT)):
+        bad = rowcheck.failing_values(table(spark, d, name), column, good)
+        parts.append(bad.select(F.lit(name).alias("source_table"), "row_id", F.lit("value").alias("reason")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p4_broken_fields(spark: SparkSession, d: str) -> DataFrame:
+    return rowcheck.failing_lines(table(spark, d, "raw_lines"), [rowcheck.CUSTOMER_ROW, rowcheck.USER_ROW])
+
+
+def p4_loaded_customers(spark: SparkSession, d: str) -> DataFrame:
+    return rowcheck.valid_lines(table(spark, d, "raw_lines"), rowcheck.CUSTOMER_ROW)
+
+
+def p4_loaded_users(spark: SparkSession, d: str) -> DataFrame:
+    return rowcheck.valid_lines(table(spark, d, "raw_lines"), rowcheck.USER_ROW)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [multivalue.split_values(table(spark, d, t), [c], source=t, least=2) for t, c in (("customers_qa", "phoneType"), ("users", "interests"))]
+    return parts[0].unionByName(parts[1]).drop("column_name")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_counts": p1_counts,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_events": _shredded("events"),
+    "p3_elements": _shredded("elements"),
+    "p3_campaigns": _shredded("campaigns"),
+    "p4_found": p4_found,
+    "p4_broken_fields": p4_broken_fields,
+    "p4_loaded_customers": p4_loaded_customers,
+    "p4_loaded_users": p4_loaded_users,
+    "p6_found": p6_found,
+}
