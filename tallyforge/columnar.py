@@ -8,6 +8,11 @@ import pyarrow as pa
 #: The characters Unicode calls white space, which "outer blanks" and "blank" mean throughout.
 WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Texts that only say there is no value, compared without case and outer blanks.
+NO_VALUE = ("n/a", "na", "n.a.", "null", "nil", "none", "unknown", "not given", "not set", "not available", "not applicable", "not provided", "not known", "unspecified", "undefined", "missing", "empty", "blank", "tbd", "tba", "no value", "no data")
+#: Marks that alone say the same, as a class of patterns.
+MARKS = r"[-–—?._*#~/]"
+
 
 def one_chunk(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(col, pa.ChunkedArray):

@@ -15,13 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.columnar import WHITE_SPACE, from_buffers, one_chunk, spread, string_buffers
+from tallyforge.columnar import MARKS, NO_VALUE, WHITE_SPACE, from_buffers, one_chunk, spread, string_buffers
 
 #: Bytes that separate values. Letters, digits, blanks, &, - and ' never do.
 SEPARATORS = ",;|/\t\n\r\x0b\x0c"
-#: Cells that only say there is no value, compared without case and outer blanks.
-NO_VALUE = ("n/a", "na", "n.a.", "null", "nil", "none", "unknown", "not given", "not set", "not available", "not applicable", "not provided", "not known", "unspecified", "undefined", "missing", "empty", "blank", "tbd", "tba", "no value", "no data")
-
 _QUOTE, _BACKSLASH = ord('"'), ord("\\")
 _AROUND = {ord("["): ord("]"), ord("{"): ord("}"), ord("("): ord(")")}
 
@@ -70,7 +67,7 @@ class Splitter:
             keep[offsets[1:][around] - 1] = False
             cells = _trimmed(from_buffers(raw[keep], np.concatenate(([0], np.cumsum(size - 2 * around)))))
         nothing = pc.is_in(pc.utf8_lower(cells), value_set=self.no_value.cast(cells.type))
-        marks = pc.match_substring_regex(cells, r"\A[-–—?._*#~]+\z")
+        marks = pc.match_substring_regex(cells, rf"\A{MARKS}+\z")
         return pc.if_else(pc.or_(nothing, marks), pa.scalar("", cells.type), cells)
 
     def __call__(self, col: pa.Array) -> pa.LargeListArray:

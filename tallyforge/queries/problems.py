@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import instants, multivalue, orphans, rowcheck, shredding
+from tallyforge.operators import instants, multivalue, orphans, profiling, rowcheck, shredding
 from tallyforge.session import table
 
 
@@ -62,6 +62,27 @@ def p4_loaded_users(spark: SparkSession, d: str) -> DataFrame:
     return rowcheck.valid_lines(table(spark, d, "raw_lines"), rowcheck.USER_ROW)
 
 
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.load_profile(table(spark, d, "customers_qa"), profiling.CUSTOMER_RULES)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.departing_loads(p5_profile(spark, d))
+
+
+def p5_masks(spark: SparkSession, d: str) -> DataFrame:
+    customers = table(spark, d, "customers_qa")
+    return profiling.mask_profile(customers, [c for c in customers.columns if c not in ("row_id", "load_id")])
+
+
+def p5_rare_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.rare_patterns(p5_masks(spark, d))
+
+
+def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.mask_divergence(p5_masks(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [multivalue.split_values(table(spark, d, t), [c], source=t, least=2) for t, c in (("customers_qa", "phoneType"), ("users", "interests"))]
     return parts[0].unionByName(parts[1]).drop("column_name")
@@ -79,5 +100,10 @@ QUERIES = {
     "p4_broken_fields": p4_broken_fields,
     "p4_loaded_customers": p4_loaded_customers,
     "p4_loaded_users": p4_loaded_users,
+    "p5_found": p5_found,
+    "p5_profile": p5_profile,
+    "p5_masks": p5_masks,
+    "p5_rare_patterns": p5_rare_patterns,
+    "p5_divergence": p5_divergence,
     "p6_found": p6_found,
 }

@@ -1,5 +1,7 @@
 """SQL equivalents of the data problems' queries, where SQL can state them."""
 
+from tallyforge.columnar import MARKS, NO_VALUE, WHITE_SPACE
+
 _ORPHANS = """
 WITH o AS (SELECT row_id, lower(trim(cust_id)) k, createdAtTimestamp t FROM orders_qa WHERE trim(cust_id) <> ''),
 c AS (SELECT DISTINCT lower(trim(cust_id)) k, loaded_at FROM customers_qa WHERE trim(cust_id) <> ''),
@@ -11,8 +13,58 @@ j AS (SELECT l.row_id, l.t, CASE WHEN e.k IS NULL THEN 'missing' WHEN l.last_loa
       FROM l JOIN g USING (row_id) LEFT JOIN e ON e.k = l.k)
 """
 
+_CAMPAIGNS = """
+WITH once AS (SELECT row_id, CASE WHEN json_valid(payload) THEN CASE json_type(payload) WHEN 'VARCHAR' THEN payload::JSON ->> '$' ELSE payload END END AS p FROM viewport_event),
+good AS (SELECT row_id, p::JSON AS p FROM once WHERE json_valid(p)),
+listed AS (SELECT row_id, CASE json_type(p) WHEN 'ARRAY' THEN json_extract(p, '$[*]') WHEN 'OBJECT' THEN [p] ELSE [] END AS es FROM good),
+ev AS (SELECT row_id, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS event_pos FROM listed),
+body AS (SELECT row_id, event_pos, json_extract(e, '$.*.value.v1EventValueValue.value.*.value')[1] AS b FROM ev),
+raw AS (SELECT *, CASE WHEN json_type(b, '$.elements') = 'OBJECT' AND json_exists(b, '$.elements.value') THEN b -> '$.elements.value' ELSE b -> '$.elements' END AS els FROM body),
+lists AS (SELECT *, CASE json_type(els) WHEN 'ARRAY' THEN json_extract(els, '$[*]') WHEN 'OBJECT' THEN [els] ELSE [] END AS items FROM raw),
+every AS (
+  SELECT row_id, event_pos, -1 AS element_pos, b -> '$.campaign' AS c FROM raw
+  UNION ALL
+  SELECT row_id, event_pos, pos, item -> '$.campaign' FROM (SELECT row_id, event_pos, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM lists))
+"""
+
+_FIELD = r"""(?:[^",\r\n]*|"(?:[^"]|"")*")"""
+_LINES = rf"""
+WITH l AS (
+  SELECT row_id, target_table, line, CASE target_table WHEN 'customers_qa' THEN 20 ELSE 7 END AS want, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*') AS well,
+         CASE target_table WHEN 'customers_qa' THEN regexp_full_match(line, '(?:{_FIELD},){{17}}(?:\s*|-?[0-9]+(?:\.[0-9]{{1,2}})?|"(?:\s*|-?[0-9]+(?:\.[0-9]{{1,2}})?)")(?:,{_FIELD}){{2}}')
+                           ELSE regexp_full_match(line, '(?:{_FIELD},){{6}}(?:\s*|[0-9]{{1,18}}|"(?:\s*|[0-9]{{1,18}})")') END AS good
+  FROM raw_lines WHERE target_table IN ('customers_qa', 'users')),
+n AS (SELECT *, length(regexp_replace(line, '"(?:[^"]|"")*"', '', 'g')) - length(replace(regexp_replace(line, '"(?:[^"]|"")*"', '', 'g'), ',', '')) + 1 AS have FROM l)
+"""
+
+_NO_VALUE = ", ".join(f"'{w}'" for w in NO_VALUE)
+_PROFILE = rf"""
+WITH v AS (
+  SELECT load_id, 'last_name' AS column_name, trim(last_name, '{WHITE_SPACE}') AS v FROM customers_qa UNION ALL
+  SELECT load_id, 'height', trim(height, '{WHITE_SPACE}') FROM customers_qa UNION ALL
+  SELECT load_id, 'age', age::VARCHAR FROM customers_qa UNION ALL
+  SELECT load_id, 'zip', trim(zip, '{WHITE_SPACE}') FROM customers_qa),
+c AS (SELECT load_id, column_name, v, count(*) AS n, coalesce(v = '' OR lower(v) IN ({_NO_VALUE}) OR regexp_full_match(v, '{MARKS}+'), true) AS gone FROM v GROUP BY ALL),
+w AS (SELECT *, CASE column_name
+    WHEN 'last_name' THEN regexp_full_match(v, '\p{{L}}+(?:[ ''-]\p{{L}}+)*')
+    WHEN 'zip' THEN regexp_full_match(v, '[0-9]{{5}}(?:-[0-9]{{4}})?')
+    WHEN 'age' THEN try_cast(v AS BIGINT) BETWEEN 0 AND 120
+    ELSE coalesce(regexp_full_match(v, '-?[0-9]+(?:\.[0-9]{{1,2}})?') AND try_cast(v AS DOUBLE) BETWEEN 20 AND 100, false) END AS fine FROM c),
+s AS (SELECT load_id, column_name, sum(n) AS rows, coalesce(sum(n) FILTER (gone), 0) AS missing, coalesce(sum(n) FILTER (NOT gone AND NOT fine), 0) AS malformed,
+    coalesce(max(n) FILTER (NOT gone), 0) AS top, sum(n * try_cast(v AS DOUBLE)) FILTER (NOT gone AND fine AND column_name IN ('age', 'height')) AS total, sum(n) FILTER (NOT gone AND fine AND column_name IN ('age', 'height')) AS numbers FROM w GROUP BY ALL),
+f AS (SELECT load_id, column_name, missing / rows AS a, malformed / nullif(rows - missing, 0) AS b, top / nullif(rows - missing, 0) AS c, total / numbers AS d FROM s),
+m AS (SELECT column_name, median(a) AS ma, median(b) AS mb, median(c) AS mc, median(d) AS md FROM f GROUP BY ALL)
+"""
+
 SQL = {
     "p1_found": _ORPHANS + "SELECT row_id, kind FROM j WHERE kind IS NOT NULL",
     "p1_counts": _ORPHANS + """
 SELECT 'orders_qa' AS child_table, strftime(t, '%Y-%m') AS month, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY ALL""",
+    "p3_found": _CAMPAIGNS + """
+SELECT row_id, event_pos::INT AS event_pos, element_pos::INT AS element_pos, c ->> '$.assetId' AS asset_id FROM every WHERE c ->> '$.assetId' <> ''""",
+    "p4_found": _LINES + r"""
+SELECT 'raw_lines' AS source_table, row_id, CASE WHEN NOT well THEN 'quoting' WHEN have <> want THEN 'column_count' ELSE 'value' END AS reason FROM n WHERE NOT well OR have <> want OR NOT good
+UNION ALL SELECT 'customers_qa', row_id, 'value' FROM customers_qa WHERE trim(height) <> '' AND NOT regexp_full_match(height, '-?[0-9]+(?:\.[0-9]{1,2})?')
+UNION ALL SELECT 'users', row_id, 'value' FROM users WHERE trim(item_count) <> '' AND NOT regexp_full_match(item_count, '[0-9]{1,18}')""",
+    "p5_found": _PROFILE + "SELECT load_id, column_name FROM f JOIN m USING (column_name) WHERE coalesce(abs(a - ma) > 0.15, false) OR coalesce(abs(b - mb) > 0.15, false) OR coalesce(abs(c - mc) > 0.15, false) OR coalesce(abs(d - md) > 10, false)",
 }
