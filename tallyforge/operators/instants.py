@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.columnar import from_buffers, one_chunk, padded, string_buffers
+from tallyforge.session import arrow_map
 
 MICRO = 1_000_000
 #: Longer values are no timestamps.
@@ -362,4 +363,4 @@ def normalise_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id:
                 at = np.flatnonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array([table] * len(at), pa.string()), b["_id"].take(pa.array(at)), pa.array([name] * len(at), pa.string()), pa.array(micros[at], pa.int64())], names=["source_table", "row_id", "field_name", "utc_micros"])
 
-    return rows.mapInArrow(run, "source_table string, row_id bigint, field_name string, utc_micros bigint")
+    return arrow_map(rows, run, "source_table string, row_id bigint, field_name string, utc_micros bigint")

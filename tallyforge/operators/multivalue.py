@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.columnar import MARKS, NO_VALUE, WHITE_SPACE, from_buffers, one_chunk, spread, string_buffers
+from tallyforge.session import arrow_map
 
 #: Bytes that separate values. Letters, digits, blanks, &, - and ' never do.
 SEPARATORS = ",;|/\t\n\r\x0b\x0c"
@@ -143,4 +144,4 @@ def split_values(df: DataFrame, columns: list[str], *, row_id: str = "row_id", s
                     names=["source_table", "row_id", "column_name", "item_pos", "item"],
                 )
 
-    return src.mapInArrow(run, "source_table string, row_id bigint, column_name string, item_pos int, item string")
+    return arrow_map(src, run, "source_table string, row_id bigint, column_name string, item_pos int, item string")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.columnar import WHITE_SPACE, fixed_bytes
-from tallyforge.session import shuffle_width
+from tallyforge.session import arrow_map, shuffle_width
 
 KEY_BYTES = 64
 #: Rows sampled per range to place the boundaries. They decide how even the ranges are, never the result.
@@ -250,7 +250,7 @@ def orphan_references(
     schema = "pid int, tag tinyint, k string, t bigint, id bigint"
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(lambda it: _placer(shared.value)(it), schema)
+        return arrow_map(df, lambda it: _placer(shared.value)(it), schema)
 
     edge = _edge_states(placed(owners), bounds)
     rows = (
@@ -259,7 +259,7 @@ def orphan_references(
         .repartitionById(bounds.ranges, F.col("pid"))
         .sortWithinPartitions("pid", "tag")
     )
-    out = rows.mapInArrow(lambda it: _prober(shared.value, edge)(it), "id bigint, kind string, t bigint")
+    out = arrow_map(rows, lambda it: _prober(shared.value, edge)(it), "id bigint, kind string, t bigint")
     return out.select(F.col("id").alias(ref_id), "kind", F.when(F.col("t") != int(NEVER + 1), F.timestamp_micros("t")).alias(ref_time))
 
 

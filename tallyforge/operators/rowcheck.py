@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.columnar import WHITE_SPACE
+from tallyforge.session import arrow_map
 
 #: White space as a class of the matcher (RE2) and of Java.
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -130,7 +131,7 @@ def failing_lines(df: DataFrame, schemas: list[RowSchema], *, row_id: str = "row
                 part = own.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([part["row_id"], part["target"], pa.array(reason[at], pa.string()), pa.array(names[broken[at]], pa.string()), pa.array(broken[at], pa.int32()), part["line"]], names=["row_id", "target", "reason", "field", "field_no", "line"])
 
-    return src.mapInArrow(run, "row_id bigint, target string, reason string, field string, field_no int, line string")
+    return arrow_map(src, run, "row_id bigint, target string, reason string, field string, field_no int, line string")
 
 
 def valid_lines(df: DataFrame, schema: RowSchema, *, row_id: str = "row_id", target: str = "target_table", line: str = "line") -> DataFrame:
@@ -146,7 +147,7 @@ def valid_lines(df: DataFrame, schema: RowSchema, *, row_id: str = "row_id", tar
             columns = [pa.array([r[i] or None for r in rows], pa.string()) for i in range(len(schema.fields))]
             yield pa.RecordBatch.from_arrays([own["row_id"], *columns], names=["row_id", *schema.fields])
 
-    return src.mapInArrow(run, "row_id bigint, " + ", ".join(f"`{f}` string" for f in schema.fields))
+    return arrow_map(src, run, "row_id bigint, " + ", ".join(f"`{f}` string" for f in schema.fields))
 
 
 def failing_values(df: DataFrame, column: str, good: str, *, row_id: str = "row_id") -> DataFrame:

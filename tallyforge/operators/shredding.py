@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import arrow_map
+
 
 @dataclass(frozen=True)
 class Node:
@@ -263,7 +265,7 @@ def shred_viewport(df: DataFrame, which: str, *, row_id: str = "row_id", payload
                 s = b.slice(lo, 2000)
                 yield _batch(s["id"].to_pylist(), s["p"].to_pylist(), which)
 
-    return src.mapInArrow(run, SCHEMAS[which])
+    return arrow_map(src, run, SCHEMAS[which])
 
 
 def unreadable_payloads(df: DataFrame, *, row_id: str = "row_id", payload: str = "payload") -> DataFrame:
@@ -275,4 +277,4 @@ def unreadable_payloads(df: DataFrame, *, row_id: str = "row_id", payload: str =
             bad = [i for i, p in enumerate(b["p"].to_pylist()) if not isinstance(readable(p), (dict, list))]
             yield pa.RecordBatch.from_arrays([b[row_id].take(pa.array(bad, pa.int64()))], names=[row_id])
 
-    return src.mapInArrow(run, f"{row_id} bigint")
+    return arrow_map(src, run, f"{row_id} bigint")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +51,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run. Once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyforge_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    at = Path(tempfile.mkdtemp(prefix="tallyforge-"), "tallyforge.zip")  # read by the driver alone, which serves it
+    at.write_bytes(packed.getvalue())
+    sc.addPyFile(str(at))
+    sc._tallyforge_shipped = True
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow, with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
