@@ -312,6 +312,8 @@ class Converter:
             if "ab" in s:
                 a, b = s["ab"]
                 ok &= np.all((m[:, a:b] >= 65) & (m[:, a:b] <= 90), axis=1)
+                if b - a == 2:  # a clock's half of the day with an hour that can't be
+                    ok &= ~(np.isin(m[:, a], (ord("A"), ord("P"))) & (m[:, a + 1] == ord("M")))
                 plain = np.all(m[:, a:b] == np.frombuffer(b"UTC", np.uint8), axis=1) if b - a == 3 else np.zeros(n, bool)
                 zone = np.where(plain, -2, zone)
             for z in np.unique(zone):

@@ -2,7 +2,7 @@
 
 import re
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
@@ -58,7 +58,10 @@ def micros(text, zone, locale, unit=1):
             d = z.replace(":", "")
             at = local.replace(tzinfo=UTC) - (1 if z[0] == "+" else -1) * timedelta(hours=int(d[1:3]), minutes=int(d[3:5]))
         elif "/" in z:
-            at = from_local(local, z.strip("[]"))
+            try:
+                at = from_local(local, z.strip("[]"))
+            except ZoneInfoNotFoundError:
+                return None
         elif zone is None:
             return None
         else:
