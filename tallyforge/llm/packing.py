@@ -153,17 +153,17 @@ def _epoch(capacity: int, b: Breeding, epoch: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 nb, island = batch["nb"][k].as_py(), batch["island"][k].as_py()
-                ids, pieces, sizes = (np.asarray(batch[c][k].values) for c in ("ids", "pieces", "sizes"))
+                ids, pieces, sizes = batch["ids"][k].values, *(np.asarray(batch[c][k].values) for c in ("pieces", "sizes"))
                 if epoch == 0:  # tasks may hand the items over in any order
-                    order = np.lexsort((pieces, ids, -sizes))
-                    ids, pieces, sizes = ids[order], pieces[order], sizes[order]
+                    order = np.lexsort((pieces, np.asarray(ids.fill_null(0)), -sizes))
+                    ids, pieces, sizes = ids.take(pa.array(order)), pieces[order], sizes[order]
                 p = Packing(sizes, capacity, seed=(nb * 1009 + island) * 31 + epoch)
                 if epoch == 0:
                     pop = [p.fresh(0.0 if i == 0 and island == 0 else 0.02 * (i + 1)) for i in range(b.population)]
                 else:
                     pop = [np.asarray(x, np.int64) for x in batch["pop"][k].as_py()]
                 pop = p.evolve(pop, b.children)
-                row = {"nb": nb, "island": island, "ids": ids, "pieces": pieces, "sizes": sizes, "pop": [x.astype(np.int32) for x in pop], "cost": p.cost(pop[0])}
+                row = {"nb": nb, "island": island, "ids": ids.to_pylist(), "pieces": pieces, "sizes": sizes, "pop": [x.astype(np.int32) for x in pop], "cost": p.cost(pop[0])}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return run
@@ -174,8 +174,8 @@ def _breed(items: DataFrame, count: int, capacity: int, b: Breeding, salt: int)
     spark = items.sparkSession
     spread = -(-count // b.neighbourhood) or 1
     at = F.pmod(F.xxhash64("id", "piece", "size", "at", F.lit(salt)), F.lit(spread))
-    state = items.groupBy(at.alias("nb")).agg(F.collect_list("id").alias("ids"), F.collect_list("piece").alias("pieces"), F.collect_list("size").alias("sizes"))
-    state = state.select("nb", F.explode(F.sequence(F.lit(0), F.lit(b.islands - 1))).alias("island"), "ids", "pieces", "sizes", F.lit(None).cast("array<array<int>>").alias("pop"), F.lit(None).cast("double").alias("cost"))
+    state = items.groupBy(at.alias("nb")).agg(F.collect_list(F.struct("id", "piece", "size")).alias("x"))
+    state = state.select("nb", F.explode(F.sequence(F.lit(0), F.lit(b.islands - 1))).alias("island"), F.col("x.id").alias("ids"), F.col("x.piece").alias("pieces"), F.col("x.size").alias("sizes"), F.lit(None).cast("array<array<int>>").alias("pop"), F.lit(None).cast("double").alias("cost"))
     width = max(1, min(shuffle_width(spark), spread * b.islands))
     for e in range(b.epochs):
         state = arrow_map(state.repartition(width, "nb", "island"), _epoch(capacity, b, e), _STATE)
