@@ -84,12 +84,16 @@ class _Parser:
             raise ValueError(f"unexpected {v!r}")
         return self.more(left)
 
-    def more(self, left):
+    def more(self, left, inside: bool = False):
+        """What follows a value. inside a projection a flattening ends it, since it is of the projection's result."""
         while True:
             k, v = self.t[self.i]
+            if inside and k == "o" and v == "[]":
+                return left
             if self.op("."):
                 if self.op("*"):
-                    return ("project", ("values", left), self.rest())
+                    left = ("project", ("values", left), self.rest())
+                    continue
                 k, v = self.t[self.i]
                 if k == "o" and v in ("[", "{"):
                     left = ("sub", left, self.select())
@@ -100,13 +104,11 @@ class _Parser:
                     left = ("sub", left, ("field", json.loads(v) if k == "q" else v))
             elif k == "o" and v in ("[", "[?", "[]"):
                 left = self.bracket(left)
-                if left[0] == "project":
-                    return left
             else:
                 return left
 
     def rest(self):
-        return self.more(("at",))
+        return self.more(("at",), True)
 
     def bracket(self, left):
         if self.op("[?"):

@@ -134,7 +134,8 @@ class _Plan:
             elif isinstance(c, Between) and isinstance(c.arg, Name) and c.arg.parts[-1] == "@timestamp":
                 self.hint(c)
             else:
-                self.df = self.df.where(self.compiler(aliases=self.aliases()).predicate(c))
+                ok = self.compiler(aliases=self.aliases()).predicate(c)  # may join to self.df
+                self.df = self.df.where(ok)
                 self.prune(c)
 
     def hint(self, c: Between) -> None:

@@ -1,6 +1,6 @@
 """All queries of the core, and their SQL."""
 
-from tallyforge.queries import problems, problems_sql
+from tallyforge.queries import problems, problems_sql, reference
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems_sql.SQL}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+SQL = {**problems_sql.SQL, **reference.SQL}
