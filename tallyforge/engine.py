@@ -86,7 +86,7 @@ class Engine:
 
     def run(self, s):
         if isinstance(s, Select):
-            self.permit("ViewDatabase")
+            self.permit("ExportData" if s.into else "ViewDatabase")
             df = self.planner().select(s if s.limit is not None or self.default_limit is None else _limited(s, self.default_limit))
             return write_into(df, s.into, s.options) if s.into else df
         if isinstance(s, Filter):
@@ -96,10 +96,10 @@ class Engine:
             self.permit("WriteDatabase")
             return self.insert(s)
         if isinstance(s, Update):
-            self.permit("UpdateDatabase")
+            self.permit("WriteDatabase")
             return self.update(s)
         if isinstance(s, Delete):
-            self.permit("UpdateDatabase")
+            self.permit("WriteDatabase")
             self.stored(s.table)
             return self.store.delete(s.table, self.predicate(s.where))
         return self.command(s)
@@ -182,7 +182,7 @@ class Engine:
         def build(seen: tuple[str, ...]) -> Compiler:
             return Compiler(scope, "filter", includes=lambda n: include(n, seen), now=now, database=self.database)
 
-        return build(()).predicate(where)
+        return build(()).predicate(where, sieve=True)
 
     def filter(self, text: str, df: DataFrame | None = None, now: Column | None = None) -> DataFrame:
         """Rows of df, or of the filter's own FROM, that match."""
@@ -240,10 +240,10 @@ class Engine:
             plan = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
             return self.spark.createDataFrame([(x,) for x in plan.splitlines()], "plan string")
         if s.verb == "CREATE":
-            self.permit("CreateDatabase")
+            self.permit("CreateOrAlterView" if "VIEW" in s.kind else "CreateOrAlterTable")
             return self.create(s)
         if s.verb == "DROP":
-            self.permit("DropDatabase")
+            self.permit("CreateOrAlterView" if "VIEW" in s.kind else "CreateOrAlterTable")
             if s.name in self.views:
                 del self.views[s.name]
             elif self.store is not None and s.kind == "TABLE":
@@ -252,7 +252,7 @@ class Engine:
                 raise NotAllowed(f"there is no {s.kind.lower()} {s.name}")
             self.views = {k: v for k, v in self.views.items() if not k.startswith(s.name + ".")}
             return 0
-        self.permit("CreateDatabase")
+        self.permit("CreateOrAlterTable")
         self.store.add_column(s.name, Attribute(s.options["column"], _COLUMN_TYPES.get(s.options["type"].upper(), "String")))
         return 0
 

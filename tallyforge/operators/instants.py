@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 from functools import cache
 from importlib import resources
 from pathlib import Path
-from zoneinfo import TZPATH, ZoneInfo
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import numpy as np
 import pyarrow as pa
@@ -339,7 +339,7 @@ def normalise_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id:
     No shuffle. Feeds are configuration: their zones are compiled on the driver and travel with the plan; there are no more
     than the zone database has, and rows of feeds find theirs by a join on feed_id.
     """
-    names = [r[0] for r in feeds.select(feed_zone).distinct().where(F.col(feed_zone).isNotNull()).orderBy(feed_zone).limit(2000).collect()]
+    names = [r[0] for r in feeds.select(feed_zone).where(F.col(feed_zone).isin(*sorted(available_timezones()))).distinct().orderBy(feed_zone).collect()]
     zones = [load_zone(x) for x in names]
     known = {x: i for i, x in enumerate(names) if zones[i] is not None}
     version = zone_version()

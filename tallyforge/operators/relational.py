@@ -29,22 +29,27 @@ def top_n(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     c = F.col(f"`{column}`")
     listed = isinstance(df.schema[column].dataType, T.ArrayType)
     counts = df.select((F.explode(c) if listed else c).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")).scalar()
     ranked = counts.orderBy(F.desc("n"), F.asc("v"))
     kept = (ranked.limit(n) if n is not None else ranked).select(F.col("v").cast("string").alias("v"), "n", F.lit(0).alias("place"))
-    rest = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("had")).crossJoin(total)  # one row by one row
-    tail = rest.select(F.explode(F.array(F.struct(F.lit("OTHER:").alias("v"), (F.col("all") - F.col("had")).alias("n"), F.lit(1).alias("place")), F.struct(F.lit("TOTAL:").alias("v"), F.col("all").alias("n"), F.lit(2).alias("place")))).alias("r")).select("r.*")
-    tail = tail.where((F.col("place") == 2) | (F.col("n") > 0)) if n is not None else tail.where("place = 2")
-    both = kept.unionByName(tail).crossJoin(total)  # with the one row of the total
+    had = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("had")).select(F.col("had"), total.alias("all"))
+    rows = [F.struct(F.lit("TOTAL:").alias("v"), F.col("all").alias("n"), F.lit(2).alias("place"))]
+    if n is not None:
+        rows.append(F.struct(F.lit("OTHER:").alias("v"), (F.col("all") - F.col("had")).alias("n"), F.lit(1).alias("place")))
+    tail = had.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("place = 2 or n > 0")
+    both = kept.unionByName(tail).withColumn("all", total)
     percent = F.when(F.col("all") > 0, F.col("n") * 100.0 / F.col("all")).otherwise(0.0)
     return both.orderBy("place", F.desc("n"), "v").select(F.col("v").alias(f"topn_{column}"), F.col("n").alias("topn_count"), percent.alias("topn_percent"))
 
 
 def stratified_sample(df: DataFrame, stratum: Column, percent: float, seed: int = 42) -> DataFrame:
-    """About ``percent`` of the rows of every stratum, at random; rows without one form a stratum too. No shuffle."""
+    """``percent`` of the rows of every stratum at random,; rows without a stratum form one too. Rows are drawn one by
+    one with the share as chance, so no shuffle is needed."""
     if not 0 <= percent <= 100:
         raise ValueError("a share is from 0 to 100 percent")
-    return df.where((F.rand(seed) < percent / 100) & (stratum.isNull() | stratum.isNotNull()))
+    # strata draw from their own sequences, so the share holds in each
+    draw = F.pmod(F.xxhash64(stratum.cast("string"), F.rand(seed)), F.lit(1_000_000))
+    return df.where(draw < percent * 10_000)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -168,10 +168,11 @@ class Compiler:
 
     # predicates
 
-    def predicate(self, e) -> Column:
-        """A column of truth; in lenient logics never null."""
+    def predicate(self, e, sieve: bool = False) -> Column:
+        """A column of truth; in lenient logics never null. As a sieve, which drops null like false, it may be: such leaves
+        stay bare, and are pushed down to the scan."""
         if isinstance(e, Binary) and e.op in ("AND", "OR"):
-            a, b = self.predicate(e.left), self.predicate(e.right)
+            a, b = self.predicate(e.left, sieve), self.predicate(e.right, sieve)
             return a & b if e.op == "AND" else a | b
         if isinstance(e, Unary) and e.op == "NOT":
             return ~self.predicate(e.arg)
@@ -182,7 +183,7 @@ class Compiler:
                 raise NotAllowed("no filters to include")
             return self.includes(e.filter)
         p = self.leaf(e)
-        return F.coalesce(p, F.lit(False)) if self.lenient else p
+        return F.coalesce(p, F.lit(False)) if self.lenient and not sieve else p
 
     def leaf(self, e) -> Column:
         if isinstance(e, Unary) and e.op == "EXISTS":
@@ -241,6 +242,8 @@ class Compiler:
         """In lenient logics a missing value differs from any other."""
         if not self.lenient:
             return ~equal
+        if b.is_literal and not a.is_list:
+            return ~equal | a.col.isNull()
         return ~F.coalesce(equal, F.lit(False))
 
     def ordered(self, op: str, a: Val, b: Val) -> Column:

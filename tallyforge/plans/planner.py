@@ -134,7 +134,7 @@ class _Plan:
             elif isinstance(c, Between) and isinstance(c.arg, Name) and c.arg.parts[-1] == "@timestamp":
                 self.hint(c)
             else:
-                ok = self.compiler(aliases=self.aliases()).predicate(c)  # may join to self.df
+                ok = self.compiler(aliases=self.aliases()).predicate(c, sieve=True)  # may join to self.df
                 self.df = self.df.where(ok)
                 self.prune(c)
 

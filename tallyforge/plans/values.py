@@ -244,6 +244,23 @@ def parse_time(s: Column) -> Column:
     return let(let(let(t, _month), _clock), _instant)
 
 
+def literal_time(text: str) -> Column:
+    """A literal's timestamp, worked out as far as a plain cast, so that it folds to a constant and filters on it are pushed down."""
+    t = text.strip()
+    for pattern, to in _REWRITES:
+        t = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", to), t)
+    if (m := re.match(r"^(\d{4})-([A-Z][a-z]{2})-", t)) and m[2] in _MONTHS:
+        t = f"{m[1]}-{_MONTHS.index(m[2]) // 3 + 1}-{t[m.end() :]}"
+    if m := re.search(_HALF, t):
+        t = f"{t[: m.start()]} {int(m[1]) % 12 + (12 if m[3] == 'P' else 0)}{m[2]}"
+    for digits, read in ((10, F.timestamp_seconds), (13, F.timestamp_millis), (16, F.timestamp_micros)):
+        if re.fullmatch(rf"\d{{{digits}}}", t):
+            return read(F.lit(int(t)))
+    if re.fullmatch(r"\d{8}", t):
+        t = f"{t[:4]}-{t[4:6]}-{t[6:]}"
+    return F.lit(t).try_cast("timestamp") if re.match(_FORM, t) else F.lit(None).cast("timestamp")
+
+
 def as_time(v: Val, now: Column) -> Column:
     v = first(v)
     if v.is_time:
@@ -251,8 +268,7 @@ def as_time(v: Val, now: Column) -> Column:
     if v.is_text:
         if v.is_literal:
             moved = date_math(v.value, now)
-            if moved is not None:
-                return moved
+            return literal_time(v.value) if moved is None else moved
         return parse_time(v.col.cast("string"))
     if v.is_whole:
         return parse_time(v.col.cast("string"))
@@ -270,6 +286,10 @@ def as_list(v: Val) -> Column:
 def common(left: Val, right: Val, now: Column) -> tuple[Column, Column]:
     """Both sides in a type they can be compared in."""
     if left.is_time or right.is_time:
+        for a, b in ((left, right), (right, left)):
+            if isinstance(a.type, T.TimestampNTZType) and not b.is_time:  # the column stays as it is stored
+                x, y = a.col, as_time(b, now).cast("timestamp_ntz")
+                return (x, y) if a is left else (y, x)
         return as_time(left, now), as_time(right, now)
     if left.is_bool or right.is_bool:
         return as_bool(left), as_bool(right)

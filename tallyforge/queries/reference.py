@@ -12,6 +12,7 @@ from tallyforge.engine import Engine
 from tallyforge.operators import relational
 from tallyforge.plans.compiler import Compiler, scope_of
 from tallyforge.plans.parser import parse_expression
+from tallyforge.plans.planner import Source
 from tallyforge.session import table
 from tallyforge.streaming import ingest
 
@@ -21,27 +22,21 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def engine(spark: SparkSession, d: str, compat: bool = False) -> Engine:
-    """An engine that sees the tables of a folder; times without a zone are times in UTC."""
-    e = Engine(spark, compat=compat)
-
-    class Views(dict):
-        def __missing__(self, name: str) -> DataFrame:
-            df = table(spark, d, name)
-            self[name] = df.select(*(F.col(f"`{f.name}`").cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f"`{f.name}`") for f in df.schema.fields))
-            return self[name]
-
-    views = Views()
-    e.views = {}
-    plain = e.source
-    e.source = lambda name: plain(name) if name in e.views else _source(views[name]) if name in TABLES else plain(name)
-    return e
+class FolderEngine(Engine):
+    """An engine that sees the tables of a folder."""
+
+    folder: str = ""
 
+    def source(self, name: str) -> Source:
+        if name in TABLES and name not in self.views:
+            self.register(name, table(self.spark, self.folder, name))
+        return super().source(name)
 
-def _source(df: DataFrame):
-    from tallyforge.plans.planner import Source
 
-    return Source(df)
+def engine(spark: SparkSession, d: str, compat: bool = False) -> Engine:
+    e = FolderEngine(spark, compat=compat)
+    e.folder = d
+    return e
 
 
 def add(name: str, statement: str, sql: str | None = None, compat: bool = False) -> None:
@@ -164,7 +159,7 @@ add("j03_right_outer", "SELECT n.n_name, r.r_name FROM nation AS n RIGHT JOIN re
 add("j04_in_query", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 add("j04_in_query_rows", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", "SELECT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 200000", compat=True)
 add("j05_not_in_query", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-add("j05_anti_join", "SELECT s.s_suppkey FROM supplier AS s INNER JOIN customer AS c ON s.s_nationkey != c.c_nationkey", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey)")
+add("j05_anti_join", "SELECT c.row_id FROM customers_qa AS c INNER JOIN orders_qa AS o ON c.cust_id != o.cust_id", "SELECT row_id FROM customers_qa AS c WHERE NOT EXISTS (SELECT 1 FROM orders_qa AS o WHERE o.cust_id = c.cust_id)")
 add("j06_join_count", "SELECT count(*) AS n FROM orders AS o INNER JOIN lineitem AS l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'")
 add("j07_two_keys", "SELECT a.row_id, b.row_id AS other FROM orders_qa AS a INNER JOIN orders_qa AS b ON a.order_id = b.order_id AND a.ship_via = b.ship_via")
 add("j09_sub_select", "SELECT o.o_orderkey, c.c_name FROM orders AS o INNER JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 9000) AS c ON o.o_custkey = c.c_custkey")

@@ -337,6 +337,19 @@ class TableStore:
             df = df.where(F.col(PART) == row[0])
         return df.drop(PART)
 
+    def verify(self, table: str) -> dict[str, int]:
+        """Rows, keys that are there twice, rows in a partition that isn't theirs, and per foreign key rows without a parent."""
+        spec = self.spec(table)
+        df = self._raw(spec)
+        out = {"rows": df.count(), "repeated_keys": df.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count(), "misplaced": df.where(F.col(PART) != self._part(spec)).count()}
+        return out | {f"orphans of {k}": v.count() for k, v in self.orphans(table).items()}
+
+    def refresh(self) -> None:
+        """Forget what is known of specifications and files, after others changed them."""
+        self._specs.clear()
+        for t in self.tables():
+            self.spark.catalog.refreshByPath(f"{self.root}/{t}/data")
+
     def orphans(self, table: str) -> dict[str, DataFrame]:
         """By foreign key column, the rows whose parent is missing."""
         spec, out = self.spec(table), {}

@@ -170,15 +170,20 @@ def test_into_files(engine, spark, tmp_path):
 
 def test_roles(engine):
     e = Engine(engine.spark, engine.store, user="u")
-    e.roles.grant("admin", "SystemAdmin")
+    e.roles.grant("root", "SystemAdmin")
     with pytest.raises(Denied):
         e.sql("select * from people")
-    e.roles.grant("u", "DomainUser", "default", by="admin")
+    e.roles.grant("chief", "DomainAdmin", "default", by="root")
+    e.roles.grant("u", "DomainUser", "default", by="chief")
     assert e.sql("select * from people").count() == 6
-    with pytest.raises(Denied):
-        e.sql("create view x as select 1")
-    with pytest.raises(Denied):
-        e.roles.grant("u", "SystemAdmin", by="u")
+    for text in ("insert into people (pid) values ('q')", "create view x as select 1", "delete from people where pid = 'q'", "select pid from people into 'memo://y'"):
+        with pytest.raises(Denied):
+            e.sql(text)
+    for user, role, by in (("u", "DomainAdmin", "u"), ("u", "SystemAdmin", "chief"), ("x", "DomainAdmin", "u")):
+        with pytest.raises(Denied):
+            e.roles.grant(user, role, "default", by=by)
+    e.roles.revoke("u", "default", by="chief")
+    assert not e.roles.permits("u", "ViewDatabase", "default") and e.roles.permits("root", "CreateOrAlterView", "other")
 
 
 def test_standard_logic(engine):
