@@ -30,9 +30,9 @@ class Breeding:
     islands: int = 3
     population: int = 6
     epochs: int = 2
-    children: int = 40
-    slack: float = 0.004
-    levels: int = 4
+    children: int = 60
+    slack: float = 0.0003
+    levels: int = 6
 
 
 _SHIFT = 21
