@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.sources.sqlite import sqlite
+
 READERS: dict[str, Callable[[SparkSession, dict], dict[str, DataFrame]]] = {}
 
 
@@ -85,21 +87,6 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def sqlite(spark: SparkSession, path: str, table: str, fetch: int = 10_000) -> DataFrame:
-    """A table of an SQLite file that the driver can read, taken over in batches to a Parquet copy in the checkpoint folder."""
-    import sqlite3
-
-    from tallyforge.session import checkpointed
-
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
-        names = [r[1] for r in c.execute(f'PRAGMA table_info("{table}")')]
-        cursor, out = c.execute(f'SELECT * FROM "{table}"'), None
-        while batch := cursor.fetchmany(fetch):
-            part = spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in batch], ", ".join(f"`{n}` string" for n in names))
-            out = part if out is None else out.unionByName(part)
-        return checkpointed(out) if out is not None else spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names))
-
-
 def csv_to_parquet(spark: SparkSession, source: str, target: str, infer: bool = True, delimiter: str = ",") -> None:
     csv(spark, source, None, delimiter, infer).write.mode("overwrite").option("compression", "snappy").parquet(target)
 

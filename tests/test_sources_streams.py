@@ -23,8 +23,13 @@ def test_files_and_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     with sqlite3.connect(tmp_path / "s.db") as c:
         c.execute("create table t (a int, b text)")
-        c.executemany("insert into t values (?, ?)", [(1, "x"), (2, None)])
-    assert readers.sqlite(spark, str(tmp_path / "s.db"), "t").count() == 2
+        c.executemany("insert into t values (?, ?)", [(i, f"w{i}" if i % 3 else None) for i in range(100)])
+    lite = readers.sqlite(spark, str(tmp_path / "s.db"), "t", partitions=4)
+    assert lite.dtypes == [("a", "bigint"), ("b", "string")] and lite.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, lite.collect())) == [(i, f"w{i}" if i % 3 else None) for i in range(100)]
+    assert lite.where("a >= 10 and a < 20 and b is not null").count() == 7 and lite.where("b = 'w7'").first().a == 7
+    e.sql(f"create source lite with type=sqlite, table=t, path='{tmp_path}/s.db'")
+    assert e.sql("select count(*) as n from t where b = null").first().n == 34
     names = readers.files(str(tmp_path), ".csv") + readers.files(str(tmp_path), ".json")
     parts = [readers.files(str(tmp_path), "", p, 3) for p in range(3)]
     assert sum(map(len, parts)) == len(readers.files(str(tmp_path))) and len(names) == 2
