@@ -54,8 +54,8 @@ SQL = {
     "p8_found": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents),
 e AS (SELECT item_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM eval_items),
-de AS (SELECT doc_id, hash(w[i : i + {NGRAM - 1}]) AS h, w[i : i + {NGRAM - 1}] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {NGRAM - 2})) AS i FROM d)),
-ee AS (SELECT item_id, hash(w[i : i + {NGRAM - 1}]) AS h, w[i : i + {NGRAM - 1}] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {NGRAM - 2})) AS i FROM e))
-SELECT DISTINCT doc_id, item_id FROM de JOIN ee ON de.h = ee.h AND de.g = ee.g""",
+de AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {NGRAM - 2}), lambda i: array_to_string(w[i : i + {NGRAM - 1}], ' '))) AS g FROM d),
+ee AS (SELECT item_id, unnest(list_transform(range(1, len(w) - {NGRAM - 2}), lambda i: array_to_string(w[i : i + {NGRAM - 1}], ' '))) AS g FROM e)
+SELECT DISTINCT doc_id, item_id FROM de JOIN ee USING (g)""",
     "p9_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {PIECE}",
 }
