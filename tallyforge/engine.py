@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,7 @@ class Engine:
 
     compat: predicates are true or false and negations hold for missing values, groups leave missing keys out, averages are cut
     at the column's scale, count(column) counts rows; else standard SQL. default_limit: rows of a SELECT without a LIMIT.
+    order_as_text: sort by the text of the keys.
     """
 
     spark: SparkSession
@@ -38,6 +41,7 @@ class Engine:
     user: str = ""
     roles: Roles = field(default_factory=Roles)
     default_limit: int | None = None
+    order_as_text: bool = False
     views: dict[str, DataFrame] = field(default_factory=dict)
     filters: dict[str, object] = field(default_factory=dict)
     variables: dict[str, object] = field(default_factory=dict)
@@ -67,7 +71,7 @@ class Engine:
         raise NotAllowed(f'Could not find a DataSource for that table "{name}"')
 
     def planner(self) -> Planner:
-        return Planner(self.spark, self.source, self.compat, self.database)
+        return Planner(self.spark, self.source, self.compat, self.database, order_as_text=self.order_as_text)
 
     # statements
 
@@ -88,7 +92,7 @@ class Engine:
         if isinstance(s, Select):
             self.permit("ExportData" if s.into else "ViewDatabase")
             df = self.planner().select(s if s.limit is not None or self.default_limit is None else _limited(s, self.default_limit))
-            return write_into(df, s.into, s.options) if s.into else df
+            return self.export(df, s.into, s.options) if s.into else df
         if isinstance(s, Filter):
             self.permit("ViewDatabase")
             return self.filtered(s)
@@ -104,6 +108,21 @@ class Engine:
             return self.store.delete(s.table, self.predicate(s.where))
         return self.command(s)
 
+    def export(self, df: DataFrame, target: str, options: dict) -> int:
+        """Write a result; returns its rows. With timeout=seconds the job is cancelled after that time; threads=n writes n files at once."""
+        more = options | ({"partitions": options["threads"]} if "threads" in options else {})
+        if "timeout" not in options:
+            return write_into(df, target, more)
+        sc, group = self.spark.sparkContext, f"export-{uuid.uuid4()}"
+        sc.setJobGroup(group, f"export to {target}", interruptOnCancel=True)
+        timer = threading.Timer(float(options["timeout"]), sc.cancelJobGroup, [group])
+        timer.start()
+        try:
+            return write_into(df, target, more)
+        finally:
+            timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
     def permit(self, permission: str) -> None:
         self.roles.check(self.user, permission, self.database)
 

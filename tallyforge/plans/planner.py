@@ -37,6 +37,7 @@ class Planner:
     compat: bool = False
     database: str = "default"
     includes: Callable | None = None
+    order_as_text: bool = False
 
     @property
     def logic(self) -> str:
@@ -330,6 +331,8 @@ class _Plan:
                 name = f"_s{k}"
                 hidden.append(c.value(e).col.alias(name))
             col = F.col(f"`{name}`")
+            if self.p.order_as_text:  # missing values first, 10 before 9
+                col = F.coalesce(col.cast("string"), F.lit(""))
             sorts.append(col.desc() if desc else col.asc())
         out = self.df.select(*(col.alias(n) for n, col in cols), *hidden)
         if q.distinct:

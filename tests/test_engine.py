@@ -193,3 +193,35 @@ def test_standard_logic(engine):
     assert e.sql("select pid from people where pid in (select pid from buys)").count() == 2
     assert e.sql("select count(years) as n from people").first().n == 3
     assert "HashAggregate" in "".join(r.plan for r in e.sql("explain select town, count(*) as n from people group by town").collect())
+
+
+def test_shell_and_metadata(engine, tmp_path):
+    from tallyforge.__main__ import shown, statements
+
+    assert statements("select ';' as a; -- gone\n select 2 as b;") == ["select ';' as a", "-- gone\n select 2 as b"]
+    assert shown(engine.sql("select pid, name, tags from people where pid = '4' or pid = '1' order by pid")).split() == ["pid", "name", "tags", "1", "Ann", "a;b", "4", "Dee", "NULL"]
+    assert engine.sql("select count(*) as n from information_schema.tables where `Table` = 'people'").first().n == 1
+    assert engine.sql("show columns from people like 'na%'").first().Field == "name"
+    assert engine.sql("show functions where Name = 'hash.md5'").count() == 1 and engine.sql("show engines").count() == 1
+    engine.sql("set @limit_of = 3, names_in = utf8")
+    assert engine.variables["@limit_of"] == 3
+    assert engine.sql("prepare one from 'select pid from people where name = ?'") == 0
+    assert engine.sql("execute one", ["Bob"]).first().pid == "2"
+    text = Engine(engine.spark, order_as_text=True, compat=False)
+    text.register("n", engine.spark.createDataFrame([(10,), (9,), (None,)], "v int"))
+    assert [r.v for r in text.sql("select v from n order by v").collect()] == [None, 10, 9]
+    assert engine.sql(f"select pid from people into '{tmp_path}/t' with timeout=60, threads=2") == 6
+    short = Engine(engine.spark, engine.store, default_limit=2)
+    assert short.sql("select pid from people").count() == 2
+
+
+def test_store_helpers(engine):
+    store = engine.store
+    assert [r.name for r in store.find("people", {"pid": "1"}).collect()] == ["Ann"] and store.find("people", {"name": "Bob"}).count() == 1
+    with pytest.raises(NotAllowed, match="no key"):
+        store.find("people", {"town": "Ulm"})
+    assert store.verify("buys") == {"rows": 3, "repeated_keys": 0, "misplaced": 0, "orphans of pid": 0}
+    store.refresh()
+    assert store.tables() == ["buys", "people"]
+    with pytest.raises(BadSchema, match="refers"):
+        store.drop("people")
