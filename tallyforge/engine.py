@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,8 @@ class Engine:
     filters: dict[str, object] = field(default_factory=dict)
     variables: dict[str, object] = field(default_factory=dict)
     prepared: dict[str, str] = field(default_factory=dict)
+    streams: dict[str, object] = field(default_factory=dict)
+    lazy: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
 
     # sources
 
@@ -55,6 +58,8 @@ class Engine:
     def source(self, name: str) -> Source:
         short = name.split(".")[-1]
         for n in (name, short):
+            if n in self.lazy:
+                return Source(self.lazy[n]())
             hit = next((v for v in self.views if v.lower() == n.lower()), None)
             if hit is not None:
                 return Source(self.views[hit])
@@ -285,7 +290,10 @@ class Engine:
         if s.kind in ("VIEW", "CONTINUOUSVIEW"):
             if not isinstance(s.body, Select):
                 raise NotAllowed("a view needs AS SELECT")
-            self.views[s.name] = self.planner().select(s.body)
+            df = self.planner().select(s.body)
+            if s.kind == "CONTINUOUSVIEW" and df.isStreaming:
+                return self.keep(s.name, df, s.options)
+            self.views[s.name] = df
             return 0
         if isinstance(s.body, Select):
             df = self.planner().select(s.body)
@@ -298,6 +306,17 @@ class Engine:
         self.store.create(TableSpec(s.name, tuple(Attribute(n, _COLUMN_TYPES.get(t.upper(), "String"), required=nn) for n, t, _, nn in columns), keys))
         return 0
 
+    def keep(self, name: str, df: DataFrame, options: dict) -> int:
+        """A continuous view: a streaming query whose result is kept in files, and read from them. Options: path, mode (append;
+        complete for aggregates), interval; without an interval it takes in what is there and ends."""
+        from tallyforge.streaming.ingest import continuous_view
+
+        path = str(options.get("path") or f"{self.store.root}/_views/{name}")
+        self.streams[name] = continuous_view(df, f"{path}/data", f"{path}/checkpoint", str(options.get("mode", "append")), options.get("interval"))
+        schema = df.schema
+        self.lazy[name] = lambda: self.spark.read.schema(schema).parquet(f"{path}/data")
+        return 0
+
     # metadata
 
     def tables(self) -> list[str]:

@@ -221,9 +221,26 @@ class TableStore:
     def _first_row(self, spec: TableSpec) -> int:
         return int(self._raw(spec).agg(F.max(ROWNUM)).first()[0] or 0) + 1
 
+    def _with_parents(self, spec: TableSpec, rows: DataFrame, strict: bool) -> DataFrame:
+        """Rows whose foreign keys are missing or name a parent; others raise if strict, else are left out."""
+        for a in spec.attributes:
+            parent, _, column = a.foreign_key.partition(".")
+            if not parent:
+                continue
+            keys = self.read(parent).select(F.col(f"`{column or self.spec(parent).primary_key[0]}`").cast("string").alias("_key"))
+            there = F.col(f"`{a.name}`").cast("string") == F.col("_key")
+            if strict:
+                lost = rows.where(F.col(f"`{a.name}`").isNotNull()).join(keys, there, "left_anti").select(a.name).take(1)
+                if lost:
+                    raise Rejected(f"{a.name}: there is no {parent} {lost[0][0]}")
+            else:
+                rows = rows.where(F.col(f"`{a.name}`").isNull()).unionByName(rows.join(keys, there, "left_semi"))
+        return rows
+
     def insert(self, table: str, rows: DataFrame, strict: bool = True) -> int:
         """Insert rows, or update those whose primary key is there: columns that the source has take its values, others stay;
-        columns that keep several values gain them. Of equal keys in one call the last counts. Returns the rows written."""
+        columns that keep several values gain them. Of equal keys in one call the last counts. Foreign keys must name a row of
+        their parent. Returns the rows written."""
         spec = self.spec(table)
         given = {c.lower() for c in rows.columns}
         has = [a for a in spec.attributes if a.name.lower() in given or (a.source.strip("/").split("/")[0].lower() in given if a.source else False)]
@@ -233,7 +250,7 @@ class TableStore:
         last = fresh.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in fresh.columns if c not in keys)), "_order").alias("_v"))
         names = [a.name for a in spec.attributes]
         incoming = last.select(*(F.col(f"`{n}`") if n in keys else F.col(f"_v.`{n}`").alias(n) for n in names), F.col("_v._order").alias("_order"))
-        incoming = checkpointed(incoming.withColumn(PART, self._part(spec)))
+        incoming = checkpointed(self._with_parents(spec, incoming.withColumn(PART, self._part(spec)), strict))
         touched = [r[0] for r in incoming.select(PART).distinct().collect()]  # at most the table's partitions
         if not touched:
             return 0

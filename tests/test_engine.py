@@ -79,7 +79,7 @@ def test_counts(engine, text, n):
         ("update people set pid = '9' where name = 'Ann'", NotAllowed, "primary key"), ("update people set nope = 1 where name = 'Ann'", UnknownColumn, "nope"), ("select pid from people where size = 1.255", NotAllowed, "2 decimal places"),
         ("insert into people (pid, size) values ('9', 1.255)", Rejected, "2 decimal places"), ("insert into people (name) values ('x')", Rejected, "required"), ("select pid from people where name between 'a' and 'b'", NotAllowed, "strings"),
         ("select sum(name) from people", NotAllowed, "non-numeric"), ("select years, years from people", NotAllowed, "aliases"), ("selec 1", SyntaxProblem, "statement"), ("select a from b cross join c on a = b", SyntaxProblem, "CROSS"),
-        ("select pid from people where pid in (select pid, name from people)", NotAllowed, "exactly one"), ("select c.name from buys as o right join people as c on c.pid = o.pid", NotAllowed, "right"),
+        ("insert into buys (bid, pid) values ('n', 'nobody')", Rejected, "no people nobody"), ("select pid from people where pid in (select pid, name from people)", NotAllowed, "exactly one"), ("select c.name from buys as o right join people as c on c.pid = o.pid", NotAllowed, "right"),
     ],
 )
 def test_refusals(engine, text, error, words):

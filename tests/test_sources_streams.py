@@ -80,3 +80,16 @@ def test_windows_on_a_stream_match_the_table(spark, tmp_path, smallest):
     got = spark.read.parquet(str(tmp_path / "view"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     assert ingest.first_of_key(df.union(df), ["event_id"], "ts").count() == df.count()
+
+
+def test_continuous_view_of_a_statement(spark, tmp_path, smallest):
+    df = spark.read.parquet(f"{smallest}/events.parquet").selectExpr("event_id", "event_type", "value")
+    ingest.publish(df, str(tmp_path / "in"), "parquet")
+    e = Engine(spark, TableStore(spark, str(tmp_path / "store")), compat=False)
+    e.register("incoming", ingest.file_stream(spark, str(tmp_path / "in"), df.schema, "parquet"))
+    e.sql("create continuousview totals as select event_type, count(*) as n from incoming group by event_type with mode=complete")
+    e.streams["totals"].awaitTermination()
+    assert sorted(map(tuple, e.sql("select event_type, n from totals").collect())) == sorted(map(tuple, df.groupBy("event_type").count().collect()))
+    e.sql("create continuousview large as select event_id, value from incoming where value > 100")
+    e.streams["large"].awaitTermination()
+    assert e.sql("select count(*) as n from large").first().n == df.where("value > 100").count()
