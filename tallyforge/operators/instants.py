@@ -42,6 +42,7 @@ def _tzif(name: str) -> bytes:
     return resources.files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
 
 
+@cache
 def zone_version() -> str:
     """Version of the zone database that transition tables come from."""
     for base in TZPATH:
@@ -194,14 +195,17 @@ _WEEKDAYS = {w[:k].encode() for w in "monday tuesday wednesday thursday friday s
 
 
 class Converter:
-    """Turns a batch of texts into instants. zones: those of the rows, by number; others are loaded when a text names them."""
+    """Turns a batch of texts into instants. zones: those of the rows, by number, of this version of the zone database; others
+    are loaded when a text names them, from a database of the same version only."""
 
-    def __init__(self, zones: list[Zone | None]):
-        self.zones = list(zones)
+    def __init__(self, zones: list[Zone | None], version: str | None = None):
+        self.zones, self.version = list(zones), version
         self.number = {z.name: i for i, z in enumerate(self.zones) if z is not None}
 
     def named(self, name: str) -> int:
         if name not in self.number:
+            if self.version is not None and zone_version() != self.version:
+                raise RuntimeError(f"this worker's zone database is {zone_version()}, the driver's {self.version}")
             self.number[name] = len(self.zones)
             self.zones.append(load_zone(name))
         return self.number[name]
@@ -336,6 +340,8 @@ def normalise_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id:
     numbers of nine or more digits count from 1970 UTC in seconds, milli-, micro- or nanoseconds, whichever gives a year
     from 2007 to 2025. Repeated rows come out repeated; an empty table gives no rows; other columns aren't read.
 
+    A zone named in a text that no feed has is loaded by the worker; it must have the driver's version of the zone database.
+
     No shuffle. Feeds are configuration: their zones are compiled on the driver and travel with the plan; there are no more
     than the zone database has, and rows of feeds find theirs by a join on feed_id.
     """
@@ -351,8 +357,7 @@ def normalise_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id:
     table, units = source or "", list(fields.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        convert = Converter(zones)
-        assert version, "transition tables need a version"
+        convert = Converter(zones, version)
         for b in batches:
             if not b.num_rows:
                 continue
