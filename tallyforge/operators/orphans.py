@@ -19,8 +19,10 @@ from tallyforge.session import arrow_map, shuffle_width
 
 KEY_BYTES = 64
 #: Rows sampled per range to place the boundaries. They decide how even the ranges are, never the result.
-SAMPLED_PER_RANGE = 60
-MAX_RANGES = 4096
+SAMPLED_PER_RANGE = 30
+MAX_RANGES = 32768
+#: There are more ranges than the session's shuffle partitions where a range would else get more rows than this.
+ROWS_PER_RANGE = 2_000_000
 NEVER = np.iinfo(np.int64).min
 LOAD, DELETE, REFERENCE = 0, 1, 2
 
@@ -243,9 +245,10 @@ def orphan_references(
     owners = owners.groupBy("tag", "k", "t").agg(F.lit(None).cast("bigint").alias("id"))
     children = side(refs, ref_key, ref_time, REFERENCE, F.col(f"`{ref_id}`").cast("bigint"))
 
-    ranges = min(MAX_RANGES, shuffle_width(spark))
+    total = parents.count() + refs.count()
+    ranges = min(MAX_RANGES, max(shuffle_width(spark), -(-total // ROWS_PER_RANGE)))
     raw = side(parents, parent_key, parent_time, LOAD, F.lit(None).cast("bigint")).unionByName(children).select("k", "t")
-    bounds = _sample_bounds(raw, parents.count() + refs.count(), ranges)
+    bounds = _sample_bounds(raw, total, ranges)
     shared = spark.sparkContext.broadcast(bounds)  # at most MAX_RANGES boundaries
     schema = "pid int, tag tinyint, k string, t bigint, id bigint"
 
