@@ -165,7 +165,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
     Words are unbroken runs of letters and digits, compared without case; all else is ignored. Items of fewer words, null or
     empty texts leak nothing. Each pair comes once per row of docs; repeated rows come out repeated; other columns aren't
-    read. No shuffle: one pass over the corpus for every MOST_NGRAMS n-grams of the items.
+    read. No shuffle: one pass over the corpus for every MOST_NGRAMS n-grams of the items. Where it takes several, pairs are made
+    distinct at the end, so those of repeated rows then come once.
     """
 
     def emit(b: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
@@ -216,7 +217,11 @@ def leaked_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 12, drop_documents: bool = False) -> DataFrame:
-    """doc_id, text, removed_chars: every text without its leaked passages, or, with drop_documents, only the texts without any."""
+    """doc_id, text, removed_chars: every text without its leaked passages, or, with drop_documents, only the texts without any.
+
+    Null texts stay null. Where the items take several passes, passages meet at their document by doc_id, which must then be
+    unique.
+    """
     if len(_blocks(items, item_id, item_text, n)) == 1:
 
         def emit(b: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
