@@ -139,11 +139,11 @@ def valid_lines(df: DataFrame, schema: RowSchema, *, row_id: str = "row_id", tar
     src = df.where(F.col(f"`{target}`") == schema.name).select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{line}`").cast("string").alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(1 << 31 - 1)
+        csv.field_size_limit(1 << 30)
         for b in batches:
             _, broken = judge(b["line"], schema)
             own = b.take(pa.array(np.flatnonzero(broken == 0)))
-            rows = [next(csv.reader(io.StringIO(x, newline=""), strict=True)) for x in own["line"].to_pylist()]
+            rows = [next(csv.reader(io.StringIO(x or "", newline=""), strict=True), [""]) for x in own["line"].to_pylist()]
             columns = [pa.array([r[i] or None for r in rows], pa.string()) for i in range(len(schema.fields))]
             yield pa.RecordBatch.from_arrays([own["row_id"], *columns], names=["row_id", *schema.fields])
 

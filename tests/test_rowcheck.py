@@ -53,6 +53,14 @@ def test_tables(spark):
     assert rowcheck.valid_lines(df.limit(0), USER_ROW).collect() == []
 
 
+def test_schema_of_one_field(spark):
+    one = RowSchema("one", ("a",))
+    rows = [(1, "one", ""), (2, "one", None), (3, "one", "x\n"), (4, "one", "x,y"), (5, "one", '"x\r\ny"')]
+    df = spark.createDataFrame(rows, "row_id bigint, target_table string, line string")
+    assert sorted(tuple(r) for r in rowcheck.valid_lines(df, one).fillna("-").collect()) == [(1, "-"), (2, "-"), (3, "x"), (5, "x\r\ny")]
+    assert [(r.row_id, r.reason) for r in rowcheck.failing_lines(df, [one]).collect()] == [(4, "column_count")]
+
+
 def test_landed_values(spark):
     values = [None, "", " ", "　", "1", "-1", "1.5", "1.55", "1.555", "1.", ".5", "+1", "1 ", "NaN", "1e3", "９", "-", "5'2\"", "x" * 100000]
     df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(values)], "row_id bigint, height string, value string")
