@@ -21,9 +21,9 @@ def mask(value: Column) -> Column:
     return F.regexp_replace(m, "[0-9]", "9")
 
 
-def shape(value: Column) -> Column:
-    """The mask with runs of a class written once: the pattern that values are grouped by."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(mask(value), "A+", "A"), "a+", "a"), "9+", "9")
+def shape(masked: Column) -> Column:
+    """A mask with runs of a class written once: coarser, as lengths are lost."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(masked, "A+", "A"), "a+", "a"), "9+", "9")
 
 
 def is_missing(value: Column) -> Column:
@@ -115,33 +115,35 @@ def departing_loads(profile: DataFrame, *, load: str = "load_id", share: float =
 
 
 def mask_profile(df: DataFrame, columns: list[str], *, load: str = "load_id") -> DataFrame:
-    """Of every column and load, each pattern of values: load, column_name, pattern (null for missing), rows, distinct_values
-    (approximate), least and greatest value as text, and share of the load's rows."""
-    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.btrim(F.col(f"`{c}`").cast("string"), F.lit(WHITE_SPACE)).alias("value")) for c in columns))
-    flat = df.select(F.col(f"`{load}`").cast("string").alias("load"), F.explode(cells).alias("c")).select("load", "c.*")
-    flat = flat.withColumn("pattern", F.when(~is_missing(F.col("value")), F.substring(shape(F.col("value")), 1, 200)))
-    seen = F.when(F.col("pattern").isNotNull(), F.col("value"))
-    out = flat.groupBy("load", "column_name", "pattern").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(seen).alias("distinct_values"), F.min(F.substring(seen, 1, 100)).alias("least"), F.max(F.substring(seen, 1, 100)).alias("greatest"))
-    total = out.groupBy(F.col("load").alias("_l"), F.col("column_name").alias("_c")).agg(F.sum("rows").alias("_all"))
-    joined = out.join(total, F.col("load").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")))
-    return joined.select(F.col("load").alias(load), "column_name", "pattern", "rows", "distinct_values", "least", "greatest", (F.col("rows") / F.col("_all")).alias("share"))
+    """Of every column and load, each mask of values: load, column_name, mask (null for missing), pattern (the mask's shape),
+    rows, distinct_values (approximate), least and greatest value as text, and share of the load's rows.
+
+    Values are counted first, so each distinct one is masked once. Masks are as long as their values.
+    """
+    value = F.col("value")
+    counts = value_counts(df, columns, load).withColumn("mask", F.when(~is_missing(value), mask(value)))
+    seen = F.when(F.col("mask").isNotNull(), value)
+    out = counts.groupBy("load", "column_name", "mask").agg(F.sum("n").alias("rows"), F.approx_count_distinct(seen).alias("distinct_values"), F.min(F.substring(seen, 1, 100)).alias("least"), F.max(F.substring(seen, 1, 100)).alias("greatest"))
+    total = df.groupBy(F.col(f"`{load}`").cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_all"))
+    joined = out.join(total, F.col("load").eqNullSafe(F.col("_l")))
+    return joined.select(F.col("load").alias(load), "column_name", "mask", shape(F.col("mask")).alias("pattern"), "rows", "distinct_values", "least", "greatest", (F.col("rows") / F.col("_all")).alias("share"))
 
 
 def rare_patterns(masks: DataFrame, *, dominant: float = 0.01) -> DataFrame:
-    """Patterns that make up less than ``dominant`` of a column's rows that hold a value: column_name, pattern, rows, share."""
-    own = masks.where("pattern is not null").groupBy("column_name", "pattern").agg(F.sum("rows").alias("rows"))
+    """Masks that make up less than ``dominant`` of a column's rows that hold a value: column_name, mask, pattern, rows, share."""
+    own = masks.where("mask is not null").groupBy("column_name", "mask").agg(F.sum("rows").alias("rows"))
     total = own.groupBy("column_name").agg(F.sum("rows").alias("_all"))
-    return own.join(total, "column_name").select("column_name", "pattern", "rows", (F.col("rows") / F.col("_all")).alias("share")).where(F.col("share") < dominant)
+    return own.join(total, "column_name").select("column_name", "mask", shape(F.col("mask")).alias("pattern"), "rows", (F.col("rows") / F.col("_all")).alias("share")).where(F.col("share") < dominant)
 
 
 def mask_divergence(masks: DataFrame, *, load: str = "load_id") -> DataFrame:
-    """Jensen-Shannon divergence, in bits, of each load's patterns of a column from those of all loads: load, column_name,
-    divergence, from 0 (the same) to 1. Missing values are a pattern of their own."""
-    p = masks.select(load, "column_name", F.coalesce("pattern", F.lit("")).alias("pattern"), "rows", F.col("share").alias("p"))
-    whole = p.groupBy("column_name", "pattern").agg(F.sum("rows").alias("_n"))
-    q = whole.join(whole.groupBy("column_name").agg(F.sum("_n").alias("_all")), "column_name").select("column_name", "pattern", (F.col("_n") / F.col("_all")).alias("q"))
-    j = p.join(q, ["column_name", "pattern"])
+    """Jensen-Shannon divergence, in bits, of each load's masks of a column from those of all loads: load, column_name,
+    divergence, from 0 (the same) to 1. Missing values are a mask of their own."""
+    p = masks.select(load, "column_name", F.coalesce("mask", F.lit("")).alias("mask"), "rows", F.col("share").alias("p"))
+    whole = p.groupBy("column_name", "mask").agg(F.sum("rows").alias("_n"))
+    q = whole.join(whole.groupBy("column_name").agg(F.sum("_n").alias("_all")), "column_name").select("column_name", "mask", (F.col("_n") / F.col("_all")).alias("q"))
+    j = p.join(q, ["column_name", "mask"])
     m = (F.col("p") + F.col("q")) / 2
-    # patterns of the whole that a load lacks add q/2 each: one less the q it has
+    # masks of the whole that a load lacks add q/2 each: one less the q it has
     parts = j.groupBy(load, "column_name").agg(F.sum(F.col("p") * F.log2(F.col("p") / m) + F.col("q") * F.log2(F.col("q") / m)).alias("_own"), F.sum("q").alias("_had"))
     return parts.select(load, "column_name", F.greatest(F.lit(0.0), (F.col("_own") + 1 - F.col("_had")) / 2).alias("divergence"))

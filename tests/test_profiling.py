@@ -51,3 +51,19 @@ def test_empty_and_masks(spark):
     want = 0.5 * math.log2(1 / 0.75) + 0.5 * (0.5 * math.log2(0.5 / 0.75) + 0.5)
     assert all(math.isclose(r.divergence, want) for r in P.mask_divergence(masks).collect())
     assert P.rare_patterns(masks, dominant=0.6).count() == 2
+
+
+def test_masks_keep_lengths(spark):
+    zips = ["12345"] * 196 + ["1234", "123456789"] + ["12345-6789"] * 101 + ["12345-67"]
+    heights = ["70.12"] * 298 + ["70.123", "70.12345"]
+    rows = [("a", "x", h, 1, z) for z, h in zip(zips, heights, strict=True)] + [("b", "x", "70.12", 1, "1234")] * 300
+    masks = P.mask_profile(frame(spark, rows), ["zip", "height"])
+    one = {(r.column_name, r.mask): (r.pattern, r.rows) for r in masks.where("load_id = 'a'").collect()}
+    assert one["zip", "99999"] == ("9", 196) and one["zip", "9999"] == ("9", 1) and one["zip", "99999-99"] == ("9-9", 1) and one["height", "99.99999"] == ("9.9", 1)
+    rare = {(r.column_name, r.mask, r.rows) for r in P.rare_patterns(masks).collect()}
+    assert rare == {("zip", "999999999", 1), ("zip", "99999-99", 1), ("height", "99.999", 1), ("height", "99.99999", 1)}
+    far = {(r.load_id, r.column_name): r.divergence for r in P.mask_divergence(masks).collect()}
+    assert far["b", "zip"] > 0.3 and far["b", "height"] < 0.01
+    # masks that differ only past the 200th character
+    long = P.mask_profile(frame(spark, [("a", "x-" * 200 + end, "1", 1, "1") for end in ("a", "b", "1")]), ["last_name"])
+    assert sorted(r.rows for r in long.collect()) == [1, 2]
