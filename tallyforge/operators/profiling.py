@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.columnar import MARKS, NO_VALUE, WHITE_SPACE
 
@@ -66,30 +67,58 @@ def value_counts(df: DataFrame, columns: list[str], load: str) -> DataFrame:
     return df.select(F.col(f"`{load}`").cast("string").alias("load"), F.explode(cells).alias("c")).groupBy("load", "c.column_name", "c.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def load_profile(df: DataFrame, rules: tuple[Rule, ...], *, load: str = "load_id") -> DataFrame:
-    """One row per load and judged column: rows, missing, malformed, distinct_values, top_value_rows, the shares of these
-    (missing of all rows, the others of the rest), and mean, of well-formed numbers.
-
-    Shares of the rest and the mean are null where there is no rest. Rows without a load are a load of their own, null.
+def placed(df: DataFrame, columns: list[str], numbers: tuple[str, ...] = ()) -> Column:
+    """Of value_counts: the value behind what puts it in its column's own order, so that least and greatest are those of the
+    column's type and come out whole, as text. Text columns named in ``numbers`` have the order of their numbers; other
+    values of theirs have no place, null."""
+    ordered = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    kinds: dict[str, list[str]] = {}
+    for f in df.schema:
+        if f.name in columns and isinstance(f.dataType, ordered):
+            kinds.setdefault(f.dataType.simpleString(), []).append(f.name)
+    name, value = F.col("column_name"), F.col("value")
+    keys = [F.when(name.isin(of), value.try_cast(kind)).alias(f"k{i}") for i, (kind, of) in enumerate(kinds.items())]
+    texts = [c for c in numbers if c in columns and not any(c in of for of in kinds.values())]
+    if not texts:
+        return F.struct(*keys, value.alias("value"))
+    is_number = value.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z")
+    keys.append(F.when(name.isin(texts) & is_number, value.try_cast("double")).alias("number"))
+    return F.when(~name.isin(texts) | is_number, F.struct(*keys, value.alias("value")))
+
+
+def load_profile(df: DataFrame, rules: tuple[Rule, ...], *, columns: list[str] | None = None, load: str = "load_id") -> DataFrame:
+    """One row per load and column, of the judged ones if none are named: rows, missing, malformed, distinct_values (exact),
+    top_value_rows, the shares of these (missing of all rows, the others of the rest), mean, of well-formed numbers, and
+    least and greatest, the range of the values that aren't missing.
+
+    A range has the order of the column's type and is given as text; of a text column judged by numbers it is that of all
+    its numbers, well-formed or not. Shares of the rest, the mean and the range are null where there is no rest, malformed
+    and its share where no rule judges the column. Rows without a load are a load of their own, null.
     """
-    counts = value_counts(df, [r.column for r in rules], load)
+    judges = [r.column for r in rules]
+    columns = judges if columns is None else columns
+    counts = value_counts(df, columns, load)
     masked = F.col("mask")
-    fine, number = F.lit(False), F.lit(None).cast("double")
+    fine, number = F.lit(None).cast("boolean"), F.lit(None).cast("double")
     for r in rules:
         own = F.col("column_name") == r.column
         fine = F.when(own, r.well_formed(F.col("value"), masked)).otherwise(fine)
         if r.low is not None:
             number = F.when(own, F.col("value").try_cast("double")).otherwise(number)
-    judged = counts.withColumn("mask", mask(F.col("value"))).select("load", "column_name", "n", is_missing(F.col("value")).alias("missing"), fine.alias("fine"), number.alias("number"))
+    own_mask = F.when(F.col("column_name").isin(judges), mask(F.col("value"))) if set(columns) - set(judges) else mask(F.col("value"))
+    place = placed(df, columns, tuple(r.column for r in rules if r.low is not None))
+    judged = counts.withColumn("mask", own_mask).select("load", "column_name", "n", is_missing(F.col("value")).alias("missing"), fine.alias("fine"), number.alias("number"), place.alias("place"))
     here, good = ~F.col("missing"), ~F.col("missing") & F.col("fine")
     sums = judged.groupBy("load", "column_name").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("missing"),
-        F.coalesce(F.sum(F.when(here & ~F.col("fine"), F.col("n"))), F.lit(0)).alias("malformed"),
+        F.when(F.col("column_name").isin(judges), F.coalesce(F.sum(F.when(here & ~F.col("fine"), F.col("n"))), F.lit(0))).alias("malformed"),
         F.count(F.when(here, 1)).alias("distinct_values"),
         F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias("top_value_rows"),
         F.sum(F.when(good, F.col("n") * F.col("number"))).alias("total"),
         F.sum(F.when(good & F.col("number").isNotNull(), F.col("n"))).alias("numbers"),
+        F.min(F.when(here, F.col("place")))["value"].alias("least"),
+        F.max(F.when(here, F.col("place")))["value"].alias("greatest"),
     )
     rest = F.col("rows") - F.col("missing")
     return sums.select(
@@ -98,6 +127,7 @@ def load_profile(df: DataFrame, rules: tuple[Rule, ...], *, load: str = "load_id
         F.when(rest > 0, F.col("malformed") / rest).alias("malformed_share"),
         F.when(rest > 0, F.col("top_value_rows") / rest).alias("top_share"),
         F.when(F.col("numbers") > 0, F.col("total") / F.col("numbers")).alias("mean"),
+        "least", "greatest",
     )
 
 
@@ -116,14 +146,15 @@ def departing_loads(profile: DataFrame, *, load: str = "load_id", share: float =
 
 def mask_profile(df: DataFrame, columns: list[str], *, load: str = "load_id") -> DataFrame:
     """Of every column and load, each mask of values: load, column_name, mask (null for missing), pattern (the mask's shape),
-    rows, distinct_values (approximate), least and greatest value as text, and share of the load's rows.
+    rows, distinct_values (exact), least and greatest value in the order of the column's type, whole and as text, and share
+    of the load's rows.
 
     Values are counted first, so each distinct one is masked once. Masks are as long as their values.
     """
     value = F.col("value")
     counts = value_counts(df, columns, load).withColumn("mask", F.when(~is_missing(value), mask(value)))
-    seen = F.when(F.col("mask").isNotNull(), value)
-    out = counts.groupBy("load", "column_name", "mask").agg(F.sum("n").alias("rows"), F.approx_count_distinct(seen).alias("distinct_values"), F.min(F.substring(seen, 1, 100)).alias("least"), F.max(F.substring(seen, 1, 100)).alias("greatest"))
+    seen = F.when(F.col("mask").isNotNull(), placed(df, columns))
+    out = counts.groupBy("load", "column_name", "mask").agg(F.sum("n").alias("rows"), F.count("mask").alias("distinct_values"), F.min(seen)["value"].alias("least"), F.max(seen)["value"].alias("greatest"))
     total = df.groupBy(F.col(f"`{load}`").cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_all"))
     joined = out.join(total, F.col("load").eqNullSafe(F.col("_l")))
     return joined.select(F.col("load").alias(load), "column_name", "mask", shape(F.col("mask")).alias("pattern"), "rows", "distinct_values", "least", "greatest", (F.col("rows") / F.col("_all")).alias("share"))

@@ -63,11 +63,12 @@ def p4_loaded_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profiling.load_profile(table(spark, d, "customers_qa"), profiling.CUSTOMER_RULES)
+    customers = table(spark, d, "customers_qa")
+    return profiling.load_profile(customers, profiling.CUSTOMER_RULES, columns=customers.columns)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return profiling.departing_loads(p5_profile(spark, d))
+    return profiling.departing_loads(profiling.load_profile(table(spark, d, "customers_qa"), profiling.CUSTOMER_RULES))
 
 
 def p5_masks(spark: SparkSession, d: str) -> DataFrame:

@@ -67,3 +67,34 @@ def test_masks_keep_lengths(spark):
     # masks that differ only past the 200th character
     long = P.mask_profile(frame(spark, [("a", "x-" * 200 + end, "1", 1, "1") for end in ("a", "b", "1")]), ["last_name"])
     assert sorted(r.rows for r in long.collect()) == [1, 2]
+
+
+def test_every_column_with_exact_range(spark, smallest):
+    long = "a" * 150
+    rows = [("a", long + "b", "9.5", 999, "1"), ("a", long + "c", "-12345", 12345, "n/a"), ("a", long + "c", "tall", -5, None)]
+    rows += [("b", None, None, None, str(i)) for i in range(3000)]
+    df = frame(spark, rows)
+    prof = P.load_profile(df, P.CUSTOMER_RULES, columns=df.columns)
+    by = {(r.load_id, r.column_name): r for r in prof.collect()}
+    assert len(by) == 2 * len(df.columns)
+    ranges = {c: (by["a", c].distinct_values, by["a", c].least, by["a", c].greatest) for c in ("last_name", "height", "age", "zip", "n", "load_id")}
+    assert ranges == {"last_name": (2, long + "b", long + "c"), "height": (3, "-12345", "9.5"), "age": (3, "-5", "12345"), "zip": (1, "1", "1"), "n": (1, "1", "1"), "load_id": (1, "a", "a")}
+    assert by["b", "age"].least is None and by["b", "zip"].distinct_values == 3000 and by["a", "n"].malformed is None and by["a", "age"].malformed == 3
+    masks = {(r.load_id, r.column_name, r.mask): r for r in P.mask_profile(df, ["last_name", "age", "zip"]).collect()}
+    assert masks["a", "last_name", "a" * 151].greatest == long + "c" and masks["b", "zip", "9999"].distinct_values == 2000 and masks["b", "age", None].distinct_values == 0
+    below = {(r.load_id, r.column_name, r.mask): r for r in P.mask_profile(frame(spark, [("a", "x", "1", v, "1") for v in (-10, -99)]), ["age"]).collect()}
+    assert (below["a", "age", "-99"].least, below["a", "age", "-99"].greatest) == ("-99", "-10")
+
+
+def test_registered_profile_against_plain_aggregates(spark, smallest):
+    from pyspark.sql import functions as F
+
+    from tallyforge.queries import problems
+    from tallyforge.session import table
+
+    customers = table(spark, smallest, "customers_qa")
+    got = {(r.load_id, r.column_name): r for r in problems.p5_profile(spark, smallest).collect()}
+    assert {c for _, c in got} == set(customers.columns)
+    for c in ("row_id", "age", "numFamilyMembers", "rownum", "feed_id", "isActive", "loaded_at"):
+        for r in customers.groupBy("load_id").agg(F.count_distinct(c).alias("d"), F.min(c).cast("string").alias("lo"), F.max(c).cast("string").alias("hi")).collect():
+            assert (got[r.load_id, c].distinct_values, got[r.load_id, c].least, got[r.load_id, c].greatest) == (r.d, r.lo, r.hi)
