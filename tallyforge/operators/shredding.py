@@ -113,13 +113,16 @@ class Shredder:
         if c.name == "kind":
             return [kind] if kind is not None else [], kind
         if isinstance(item, dict):
+            empty = None  # the first that is there but null
             for name in c.names or (c.name,):
-                if name.startswith("*"):
-                    hit = [k for k in item if k.endswith(name[1:])]
-                    if hit:
-                        return [item[hit[0]]], hit[0]
-                elif name in item:
-                    return [item[name]], kind
+                open_end = name.startswith("*")
+                for k in [k for k in item if k.endswith(name[1:])] if open_end else [name] if name in item else []:
+                    hit = [item[k]], k if open_end else kind
+                    if (_unwrap(item[k]) if c.wrapped else item[k]) is not None:
+                        return hit
+                    empty = empty or hit
+            if empty:
+                return empty
         return [], kind
 
 

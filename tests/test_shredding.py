@@ -65,3 +65,15 @@ def test_levels_round_trip():
             assert len(rebuilt[i][a]["b"]) == b
             rebuilt[i][a]["b"].append({"c": next(values)} if d == leaf.max_def else {})
     assert rebuilt == records
+
+
+def test_null_names_before_the_filled_one(spark):
+    body = {"elements": [{"campaign": {"assetId": "a"}}]}
+    full = wrap("containerViewValueValue", body)
+    inner = full["impressionEventValueValue"]["value"]["v1EventValueValue"]["value"]
+    one = {"engagementEventValueValue": None, **full}
+    two = {"engagementEventValueValue": {"value": None}, "impressionEventValueValue": {"value": {"v1EventValueValue": {"value": {"interactionValueValue": None, **inner}}}}}
+    three = wrap("containerViewValueValue", None)
+    rows = [(i, json.dumps(v), "", "") for i, v in enumerate((one, two, three))]
+    assert sorted(r[:4] for r in table(spark, rows, "campaigns") if r[3]) == [(0, 0, 0, "a"), (1, 0, 0, "a")]
+    assert {r[0]: r[2] for r in table(spark, rows[:2], "events")} == {0: "containerViewValueValue", 1: "containerViewValueValue"}
