@@ -63,7 +63,8 @@ class Zone:
 
     A threshold is the local time from which the new offset holds: after a skipped hour its end, so that a skipped time
     still counts by the old offset and moves on by the gap; after a repeated hour its end too, so that a time that
-    occurs twice is the earlier instant.
+    occurs twice is the earlier instant. Zones are exact up to 2099 only: local times after the table's end have the offset
+    of the last change before it, also in summer.
     """
 
     name: str
