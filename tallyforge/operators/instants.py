@@ -12,7 +12,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from functools import cache
+from functools import cache, lru_cache
 from importlib import resources
 from pathlib import Path
 from zoneinfo import TZPATH, ZoneInfo, available_timezones
@@ -27,9 +27,10 @@ from tallyforge.columnar import from_buffers, one_chunk, padded, string_buffers
 from tallyforge.session import arrow_map
 
 MICRO = 1_000_000
-#: Longer values are no timestamps.
-LONGEST = 80
-LAST_YEAR = 2100
+#: Zones have fixed yearly rules from here on; local times CYCLE years later or more are read at their place in the cycle of
+#: the Gregorian calendar before.
+STEADY_FROM, CYCLE = 2100, 400
+CYCLE_SECONDS = 146_097 * 86_400
 
 
 # Zones
@@ -59,24 +60,40 @@ def zone_version() -> str:
 
 @dataclass(frozen=True)
 class Zone:
-    """Offsets of a zone. Local time l has offset offsets[i], i the number of thresholds up to l.
+    """Offsets of a zone. Local time l has offset offsets[i], i the number of thresholds up to l; names are the abbreviations
+    that go with the offsets.
 
     A threshold is the local time from which the new offset holds: after a skipped hour its end, so that a skipped time
     still counts by the old offset and moves on by the gap; after a repeated hour its end too, so that a time that
-    occurs twice is the earlier instant. Zones are exact up to 2099 only: local times after the table's end have the offset
-    of the last change before it, also in summer.
+    occurs twice is the earlier instant, unless it has the abbreviation of the offset after the change.
     """
 
     name: str
     thresholds: np.ndarray
     offsets: np.ndarray
+    names: np.ndarray
+
+    def to_utc(self, local: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+        """side: an abbreviation for each local time, or empty; it only tells which of two instants is meant."""
+        late = np.maximum(local - self._end(), 0)
+        at = local - -(-late // CYCLE_SECONDS) * CYCLE_SECONDS
+        i = np.searchsorted(self.thresholds, at, "right")
+        if side is not None and len(self.thresholds):
+            nxt = np.minimum(i, len(self.thresholds) - 1)
+            repeated = self.offsets[nxt] - self.offsets[nxt + 1]  # length of the time that the next change repeats
+            named = (side == self.names[nxt + 1]) & (side != self.names[nxt])
+            i = np.where((i == nxt) & (at >= self.thresholds[nxt] - repeated) & (repeated > 0) & named, i + 1, i)
+        return local - self.offsets[i]
 
-    def to_utc(self, local: np.ndarray) -> np.ndarray:
-        return local - self.offsets[np.searchsorted(self.thresholds, local, "right")]
+    @staticmethod
+    @cache
+    def _end() -> int:
+        """The local second where the cycle that the tables hold ends."""
+        return int(datetime(STEADY_FROM + CYCLE, 1, 1, tzinfo=UTC).timestamp())
 
 
-def _transitions(name: str) -> tuple[list[int], list[int]]:
-    """UTC seconds of the changes of offset, and the offsets: one before the first, one after each."""
+def _transitions(name: str) -> tuple[list[int], list[int], list[str]]:
+    """UTC seconds of the changes of offset, and the offsets with their abbreviations: one before the first, one after each."""
     raw = _tzif(name)
     if raw[:4] != b"TZif":
         raise ValueError(f"{name} is no zone file")
@@ -88,33 +105,37 @@ def _transitions(name: str) -> tuple[list[int], list[int]]:
     if wide:
         isut, isstd, leap, times, types, chars = counts(0)
         at = 44 + times * 5 + types * 6 + chars + leap * 8 + isstd + isut
-    _, _, _, times, types, _ = counts(at)
+    _, _, _, times, types, chars = counts(at)
     at += 44
     size = 8 if wide else 4
     when = list(struct.unpack(f">{times}{'q' if wide else 'l'}", raw[at : at + times * size]))
     kinds = raw[at + times * size : at + times * (size + 1)]
-    offs = [struct.unpack(">lbb", raw[at + times * (size + 1) + 6 * i :][:6])[0] for i in range(types)]
+    entries = [struct.unpack(">lbB", raw[at + times * (size + 1) + 6 * i :][:6]) for i in range(types)]
+    letters = raw[at + times * (size + 1) + 6 * types :][:chars]
+    offs, short = [e[0] for e in entries], [letters[e[2] :].split(b"\0")[0].decode() for e in entries]
     zone = ZoneInfo(name)
 
     def offset(t: int) -> int:
         return int(datetime.fromtimestamp(t, zone).utcoffset().total_seconds())
 
-    when, after = when, [offs[k] for k in kinds]
-    # rules after the last listed change: probed week by week
-    t, end = (max(when[-1], 0) if when else 0), int(datetime(LAST_YEAR, 1, 1, tzinfo=UTC).timestamp())
+    after, names = [offs[k] for k in kinds], [short[k] for k in kinds]
+    # rules after the last listed change: probed in steps shorter than any rule's season
+    t, end = (max(when[-1], 0) // 900 * 900 if when else 0), Zone._end()
     last = after[-1] if after else offs[0]
     while t < end:
-        nxt = t + 7 * 86400
+        nxt = t + 21 * 86400
         if (o := offset(nxt)) != last:
             lo, hi = t, nxt
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
+            for unit in (900, 1):  # rules change on a quarter of an hour, as a rule
+                while hi - lo > unit and not (unit == 1 and offset(hi - 1) == last):
+                    mid = lo + (hi - lo) // unit // 2 * unit
+                    lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
             when.append(hi)
             after.append(o)
+            names.append(datetime.fromtimestamp(hi, zone).tzname())
             last = o
         t = nxt
-    return when, [offs[0], *after]
+    return when, [offs[0], *after], [short[0], *names]
 
 
 @cache
@@ -122,11 +143,11 @@ def load_zone(name: str) -> Zone | None:
     if not re.fullmatch(r"[A-Za-z0-9_+-]+(/[A-Za-z0-9_+-]+){0,2}", name):
         return None
     try:
-        when, offs = _transitions(name)
+        when, offs, names = _transitions(name)
     except (OSError, ValueError, KeyError, ModuleNotFoundError):
         return None
     thresholds = [w + max(a, b) for w, a, b in zip(when, offs, offs[1:])]
-    return Zone(name, np.maximum.accumulate(np.array(thresholds, np.int64)) if thresholds else np.zeros(0, np.int64), np.array(offs, np.int64))
+    return Zone(name, np.maximum.accumulate(np.array(thresholds, np.int64)) if thresholds else np.zeros(0, np.int64), np.array(offs, np.int64), np.array([n.encode() for n in names], "S8"))
 
 
 # Masks
@@ -164,8 +185,17 @@ class Parser:
     sign: int = -1
 
 
-@cache
+#: Longer masks are compiled anew in each batch, so that the memory of the kept ones is bounded.
+_KEPT_MASK, _KEPT_MASKS = 128, 1 << 14
+
+
+@lru_cache(maxsize=_KEPT_MASKS)
 def parsers_of(mask: str) -> tuple[Parser, ...]:
+    """The ways to read a mask, kept for the next batches."""
+    return compiled(mask)
+
+
+def compiled(mask: str) -> tuple[Parser, ...]:
     """The ways to read a mask, to be tried in turn; none if it can be no timestamp."""
     if re.fullmatch(r"9{9,19}", mask):
         return (Parser(number=True),)
@@ -216,7 +246,7 @@ class Converter:
         texts = pc.utf8_trim_whitespace(one_chunk(texts))
         n = len(texts)
         out, ok = np.zeros(n, np.int64), np.zeros(n, bool)
-        rows = np.flatnonzero(np.asarray(pc.fill_null(pc.and_(pc.greater(pc.binary_length(texts), 5), pc.less_equal(pc.binary_length(texts), LONGEST)), False)))
+        rows = np.flatnonzero(np.asarray(pc.fill_null(pc.greater(pc.binary_length(texts), 5), False)))
         if not len(rows):
             return out, ok
         raw, offsets, _ = string_buffers(texts.take(pa.array(rows)))
@@ -226,7 +256,7 @@ class Converter:
         edges = np.searchsorted(code[order], np.arange(len(masks.dictionary) + 1))
         for c, mask in enumerate(masks.dictionary.to_pylist()):
             left = order[edges[c] : edges[c + 1]]
-            for p in parsers_of(mask):
+            for p in parsers_of(mask) if len(mask) <= _KEPT_MASK else compiled(mask):
                 if not len(left):
                     break
                 size = int(offsets[left[0] + 1] - offsets[left[0]])
@@ -313,7 +343,7 @@ class Converter:
                 part = np.ascontiguousarray(m[:, name[0] : name[1]])
                 names, inverse = np.unique(part.view(f"S{name[1] - name[0]}").ravel(), return_inverse=True)
                 zone = np.array([self.named(x.decode()) for x in names.tolist()], np.int64)[inverse]
-            utc = local.copy()
+            utc, side = local.copy(), None
             if "ab" in s:
                 a, b = s["ab"]
                 ok &= np.all((m[:, a:b] >= 65) & (m[:, a:b] <= 90), axis=1)
@@ -321,41 +351,30 @@ class Converter:
                     ok &= ~(np.isin(m[:, a], (ord("A"), ord("P"))) & (m[:, a + 1] == ord("M")))
                 plain = np.all(m[:, a:b] == np.frombuffer(b"UTC", np.uint8), axis=1) if b - a == 3 else np.zeros(n, bool)
                 zone = np.where(plain, -2, zone)
+                side = np.ascontiguousarray(m[:, a:b]).view(f"S{b - a}").ravel()
             for z in np.unique(zone):
                 rows = zone == z
                 known = self.zones[z] if z >= 0 else None
                 if known is not None:
-                    utc[rows] = known.to_utc(local[rows])
+                    utc[rows] = known.to_utc(local[rows], None if side is None else side[rows])
                 elif z != -2:
                     ok &= ~rows
         return utc * MICRO + micros, ok
 
 
-def normalise_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id: str, fields: dict[str, int], feed_key: str = "feed_id", feed_zone: str = "tz_name", feed_locale: str = "locale", source: str | None = None) -> DataFrame:
-    """Instants of the text fields: source_table, row_id, field_name, utc_micros, one row per value that denotes one.
-
-    fields maps a column to the unit in microseconds its instants are cut down to. Values without a zone of their own, or
-    with a zone's abbreviation, are local times of the row's feed; if the feed or its zone is unknown, such values are
-    unreadable, as are null, blank and impossible ones. A local time that occurs twice is the earlier instant, a skipped
-    one moves on by the gap. Dates that don't begin with the year have the month first for en_US, else the day. Bare
-    numbers of nine or more digits count from 1970 UTC in seconds, milli-, micro- or nanoseconds, whichever gives a year
-    from 2007 to 2025. Repeated rows come out repeated; an empty table gives no rows; other columns aren't read.
-
-    A zone named in a text that no feed has is loaded by the worker; it must have the driver's version of the zone database.
-
-    No shuffle. Feeds are configuration: their zones are compiled on the driver and travel with the plan; there are no more
-    than the zone database has, and rows of feeds find theirs by a join on feed_id.
-    """
+def _read(df: DataFrame, feeds: DataFrame, emit, schema: str, *, row_id: str, feed_id: str, fields: dict[str, int], feed_key: str, feed_zone: str, feed_locale: str) -> DataFrame:
+    """Runs emit(ids, texts, field's name, micros, readable) on every batch and field."""
     names = [r[0] for r in feeds.select(feed_zone).where(F.col(feed_zone).isin(*sorted(available_timezones()))).distinct().orderBy(feed_zone).collect()]
     zones = [load_zone(x) for x in names]
     known = {x: i for i, x in enumerate(names) if zones[i] is not None}
     version = zone_version()
 
-    keys = feeds.select(F.col(feed_key).alias("_feed"), F.col(feed_zone).alias("_zone"), (F.col(feed_locale) == "en_US").alias("_us")).dropDuplicates(["_feed"])
+    settings = F.struct(F.col(feed_zone).alias("_zone"), (F.col(feed_locale) == "en_US").alias("_us"))
+    keys = feeds.groupBy(F.col(feed_key).alias("_feed")).agg(F.min(settings).alias("_s")).select("_feed", "_s.*")
     wanted = [F.col(f"`{c}`").cast("string").alias(f"_v{i}") for i, c in enumerate(fields)]
     rows = df.select(F.col(f"`{row_id}`").cast("bigint").alias("_id"), F.col(f"`{feed_id}`").alias("_feed"), *wanted).join(keys, "_feed", "left")
     rows = rows.select("_id", "_zone", "_us", *(f"_v{i}" for i in range(len(fields))))
-    table, units = source or "", list(fields.items())
+    units = list(fields.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = Converter(zones, version)
@@ -367,8 +386,43 @@ def normalise_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id:
             zone = numbers[z.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)]
             us = b["_us"].fill_null(False).to_numpy(zero_copy_only=False)
             for i, (name, unit) in enumerate(units):
-                micros, ok = convert(b[f"_v{i}"], zone, us, unit)
-                at = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array([table] * len(at), pa.string()), b["_id"].take(pa.array(at)), pa.array([name] * len(at), pa.string()), pa.array(micros[at], pa.int64())], names=["source_table", "row_id", "field_name", "utc_micros"])
+                yield emit(b["_id"], b[f"_v{i}"], name, *convert(b[f"_v{i}"], zone, us, unit))
+
+    return arrow_map(rows, run, schema)
+
+
+def normalise_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id: str, fields: dict[str, int], feed_key: str = "feed_id", feed_zone: str = "tz_name", feed_locale: str = "locale", source: str | None = None) -> DataFrame:
+    """Instants of the text fields: source_table, row_id, field_name, utc_micros, one row per value that denotes one.
+
+    fields maps a column to the unit in microseconds its instants are cut down to. Values without a zone of their own, or
+    with a zone's abbreviation, are local times of the row's feed; if the feed or its zone is unknown, such values are
+    unreadable, as are null, blank and impossible ones. A local time that occurs twice is the earlier instant, unless it has
+    the abbreviation that holds in its feed's zone after the change; a skipped one moves on by the gap. Dates that don't
+    begin with the year have the month first for en_US, else the day. Bare numbers of nine or more digits count from 1970 UTC
+    in seconds, milli-, micro- or nanoseconds, whichever gives a year from 2007 to 2025. Repeated rows come out repeated; an
+    empty table gives no rows; other columns aren't read. Of several rows of one feed the least zone and locale count.
+
+    A zone named in a text that no feed has is loaded by the worker; it must have the driver's version of the zone database.
+
+    No shuffle. Feeds are configuration: their zones are compiled on the driver and travel with the plan; there are no more
+    than the zone database has, and rows of feeds find theirs by a join on feed_id.
+    """
+    table = source or ""
+
+    def emit(ids: pa.Array, texts: pa.Array, name: str, micros: np.ndarray, ok: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(ok)
+        return pa.RecordBatch.from_arrays([pa.array([table] * len(at), pa.string()), ids.take(pa.array(at)), pa.array([name] * len(at), pa.string()), pa.array(micros[at], pa.int64())], names=["source_table", "row_id", "field_name", "utc_micros"])
+
+    return _read(df, feeds, emit, "source_table string, row_id bigint, field_name string, utc_micros bigint", row_id=row_id, feed_id=feed_id, fields=fields, feed_key=feed_key, feed_zone=feed_zone, feed_locale=feed_locale)
+
+
+def unreadable_instants(df: DataFrame, feeds: DataFrame, *, row_id: str, feed_id: str, fields: dict[str, int], feed_key: str = "feed_id", feed_zone: str = "tz_name", feed_locale: str = "locale", source: str | None = None) -> DataFrame:
+    """The values that normalise_instants leaves out, but for null and blank ones: source_table, row_id, field_name, value."""
+    table = source or ""
+
+    def emit(ids: pa.Array, texts: pa.Array, name: str, micros: np.ndarray, ok: np.ndarray) -> pa.RecordBatch:
+        held = pc.fill_null(pc.greater(pc.binary_length(pc.utf8_trim_whitespace(texts)), 0), False).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(held & ~ok)
+        return pa.RecordBatch.from_arrays([pa.array([table] * len(at), pa.string()), ids.take(pa.array(at)), pa.array([name] * len(at), pa.string()), texts.take(pa.array(at))], names=["source_table", "row_id", "field_name", "value"])
 
-    return arrow_map(rows, run, "source_table string, row_id bigint, field_name string, utc_micros bigint")
+    return _read(df, feeds, emit, "source_table string, row_id bigint, field_name string, value string", row_id=row_id, feed_id=feed_id, fields=fields, feed_key=feed_key, feed_zone=feed_zone, feed_locale=feed_locale)

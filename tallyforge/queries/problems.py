@@ -24,12 +24,17 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_orphan_orders(spark, d), table="orders_qa", time="createdAtTimestamp")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    feeds = table(spark, d, "feeds")
-    customers = {"createdAtTimestamp": 1, "timestamp_micro": 1, "timestamp_millis": 1000}
-    return instants.normalise_instants(table(spark, d, "customers_qa"), feeds, row_id="row_id", feed_id="feed_id", fields=customers, source="customers_qa").unionByName(
-        instants.normalise_instants(table(spark, d, "users"), feeds, row_id="row_id", feed_id="feed_id", fields={"reg_date": 1}, source="users")
-    )
+def _instants(operator):
+    """Of the four time fields, each with the unit it is cut down to."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        feeds = table(spark, d, "feeds")
+        customers = {"createdAtTimestamp": 1, "timestamp_micro": 1, "timestamp_millis": 1000}
+        return operator(table(spark, d, "customers_qa"), feeds, row_id="row_id", feed_id="feed_id", fields=customers, source="customers_qa").unionByName(
+            operator(table(spark, d, "users"), feeds, row_id="row_id", feed_id="feed_id", fields={"reg_date": 1}, source="users")
+        )
+
+    return run
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +97,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
-    "p2_found": p2_found,
+    "p2_found": _instants(instants.normalise_instants),
+    "p2_unreadable": _instants(instants.unreadable_instants),
     "p3_found": p3_found,
     "p3_events": _shredded("events"),
     "p3_elements": _shredded("elements"),

@@ -8,9 +8,13 @@ EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
 
-def from_local(local, name):
-    """The earlier instant of a repeated time; a skipped one moved on by the gap. fold=0 means both."""
+def from_local(local, name, side=""):
+    """The earlier instant of a repeated time, but for the later one's abbreviation; a skipped one moved on by the gap.
+    fold=0 means both."""
     at = local.replace(tzinfo=ZoneInfo(name))
+    later = at.replace(fold=1)
+    if later.utcoffset() < at.utcoffset() and side == later.tzname() != at.tzname():
+        at = later
     return local.replace(tzinfo=UTC) - at.utcoffset()
 
 
@@ -65,7 +69,7 @@ def micros(text, zone, locale, unit=1):
         elif zone is None:
             return None
         else:
-            at = from_local(local, zone)
+            at = from_local(local, zone, z)
         us = (at - EPOCH) // timedelta(microseconds=1)
         return us - us % unit
     return None
