@@ -7,8 +7,6 @@ a linear-time matcher over Arrow buffers, so no record, however long or odd, can
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.columnar import WHITE_SPACE
+from tallyforge.columnar import WHITE_SPACE, from_buffers, spread, string_buffers
 from tallyforge.session import arrow_map
 
 #: White space as a class of the matcher (RE2) and of Java.
@@ -30,7 +28,11 @@ ITEM_COUNT = r"[0-9]{1,18}"
 _BARE = r'[^",\r\n]*'
 _QUOTED = r'"(?:[^"]|"")*"'
 _ANY = f"(?:{_BARE}|{_QUOTED})"
+#: A field as far as its quotes go: a line break may stand outside them.
+_LOOSE = f'(?:[^",]*|{_QUOTED})'
 _END = r"(?:\r\n|\n|\r)?\z"
+_JAVA_BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE) + "]"
+_SEPARATOR = r"\x00"
 
 
 @dataclass(frozen=True)
@@ -55,17 +57,34 @@ class RowSchema:
 
     @property
     def well_quoted(self) -> str:
+        return rf"\A{_LOOSE}(?:,{_LOOSE})*{_END}"
+
+    @property
+    def unbroken(self) -> str:
+        """No line break stands outside quotes, but for one at the end."""
         return rf"\A{_ANY}(?:,{_ANY})*{_END}"
 
-    def prefix(self, k: int, typed: bool) -> str:
-        """The first k fields, each complete: a comma or the record's end follows."""
-        parts = [self.value(f) if typed else _ANY for f in self.fields[:k]]
+    def prefix(self, k: int, how: str) -> str:
+        """The first k fields, each complete: a comma or the record's end follows. how: what is asked of a field, its
+        ``quotes``, its line ``breaks`` too, or a good ``value`` besides."""
+        parts = [{"quotes": _LOOSE, "breaks": _ANY}.get(how) or self.value(f) for f in self.fields[:k]]
         return rf"\A{','.join(parts)}(?:,|{_END})"
 
     @property
     def counted(self) -> str:
         n = len(self.fields)
-        return rf"\A{_ANY}(?:,{_ANY}){{{n - 1}}}{_END}" if n > 1 else rf"\A{_ANY}{_END}"
+        return rf"\A{_LOOSE}(?:,{_LOOSE}){{{n - 1}}}{_END}" if n > 1 else rf"\A{_LOOSE}{_END}"
+
+    # landed rows: the judged columns, joined by a character that no good value holds
+
+    @property
+    def judged(self) -> list[str]:
+        return [f for f, _ in self.kinds]
+
+    def landed(self, k: int | None = None) -> str:
+        """The pattern of a whole landed row, or of its first k judged columns. Null counts as blank."""
+        parts = [f"(?:{_JAVA_BLANK}*|{good})" for _, good in self.kinds[:k]]
+        return rf"\A{_SEPARATOR.join(parts)}" + (r"\z" if k is None else rf"(?:{_SEPARATOR}|\z)")
 
 
 CUSTOMER_ROW = RowSchema(
@@ -92,18 +111,19 @@ def judge(lines: pa.Array, schema: RowSchema) -> tuple[np.ndarray, np.ndarray]:
     if not len(bad):
         return reason, broken
     left = text.take(pa.array(bad))
-    quoted, counted = _match(left, schema.well_quoted), _match(left, schema.counted)
-    reason[bad] = np.where(~quoted, "quoting", np.where(~counted, "column_count", "value"))
+    quoted, counted, unbroken = (_match(left, p) for p in (schema.well_quoted, schema.counted, schema.unbroken))
+    reason[bad] = np.where(~quoted, "quoting", np.where(~counted, "column_count", np.where(~unbroken, "quoting", "value")))
+    asked = np.where(~quoted | ~counted, "quotes", np.where(~unbroken, "breaks", "value"))
     # shortest prefix that fails; only records still whole so far are tried with the next field
     place, alive = np.full(len(bad), len(schema.fields) + 1, np.int32), np.arange(len(bad))
     for k in range(1, len(schema.fields) + 1):
         if not len(alive):
             break
         ok = np.zeros(len(alive), bool)
-        for typed in (False, True):
-            pick = np.flatnonzero((reason[bad[alive]] == "value") == typed)
+        for how in ("quotes", "breaks", "value"):
+            pick = np.flatnonzero(asked[alive] == how)
             if len(pick):
-                ok[pick] = _match(left.take(pa.array(alive[pick])), schema.prefix(k, typed))
+                ok[pick] = _match(left.take(pa.array(alive[pick])), schema.prefix(k, how))
         place[alive[~ok]] = k
         alive = alive[ok]
     broken[bad] = place
@@ -113,9 +133,9 @@ def judge(lines: pa.Array, schema: RowSchema) -> tuple[np.ndarray, np.ndarray]:
 def failing_lines(df: DataFrame, schemas: list[RowSchema], *, row_id: str = "row_id", target: str = "target_table", line: str = "line") -> DataFrame:
     """Records that fail: row_id, target, reason, field (name of the first broken field, null behind the last), field_no, line.
 
-    A line is one record of RFC 4180. reason is ``quoting`` if its quotes break that standard - also by a line break
-    outside quotes, but for one at the very end - else ``column_count``, else ``value`` for a judged field that is neither
-    blank nor good. A null or empty line has one empty column. Lines for a target that no schema names can't be judged and
+    A line is one record of RFC 4180. reason is ``quoting`` if its quotes break that standard, else ``column_count``, else
+    ``quoting`` again if a line break stands outside quotes, but for one at the very end, else ``value`` for a judged field
+    that is neither blank nor good. A null or empty line has one empty column. Lines for a target that no schema names can't be judged and
     are left out. Repeated rows come out repeated, empty tables give none, other columns aren't read. No shuffle.
     """
     by = {s.name: s for s in schemas}
@@ -139,19 +159,43 @@ def valid_lines(df: DataFrame, schema: RowSchema, *, row_id: str = "row_id", tar
     src = df.where(F.col(f"`{target}`") == schema.name).select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{line}`").cast("string").alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(1 << 30)
         for b in batches:
             _, broken = judge(b["line"], schema)
             own = b.take(pa.array(np.flatnonzero(broken == 0)))
-            rows = [next(csv.reader(io.StringIO(x or "", newline=""), strict=True), [""]) for x in own["line"].to_pylist()]
-            columns = [pa.array([r[i] or None for r in rows], pa.string()) for i in range(len(schema.fields))]
-            yield pa.RecordBatch.from_arrays([own["row_id"], *columns], names=["row_id", *schema.fields])
+            yield pa.RecordBatch.from_arrays([own["row_id"], *fields_of(own["line"], len(schema.fields))], names=["row_id", *schema.fields])
 
     return arrow_map(src, run, "row_id bigint, " + ", ".join(f"`{f}` string" for f in schema.fields))
 
 
-def failing_values(df: DataFrame, column: str, good: str, *, row_id: str = "row_id") -> DataFrame:
-    """Rows of a landed table whose value is neither null, blank nor good: row_id, field, value. Runs inside the JVM."""
-    v = F.col(f"`{column}`").cast("string")
-    blank = F.btrim(v, F.lit(WHITE_SPACE)) == ""
-    return df.where(~blank & ~v.rlike(rf"\A(?:{good})\z")).select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.lit(column).alias("field"), v.alias("value"))
+def fields_of(lines: pa.Array, n: int) -> list[pa.Array]:
+    """The n fields of records that are valid, from the parity of quotes over their bytes; empty ones are null."""
+    text = pc.replace_substring_regex(pc.fill_null(lines, "").cast(pa.large_string()), r"(?:\r\n|\n|\r)\z", "")
+    raw, offsets, _ = string_buffers(text)
+    # a valid record has an even number of quotes, so parity needs no restart at its begin
+    outside = np.cumsum(raw == ord('"')) % 2 == 0
+    commas = np.flatnonzero((raw == ord(",")) & outside).reshape(len(text), n - 1)
+    begins = np.concatenate((offsets[:-1, None], commas + 1), axis=1)
+    ends = np.concatenate((commas, offsets[1:, None]), axis=1)
+    out = []
+    for k in range(n):
+        group, place = spread(ends[:, k] - begins[:, k])
+        own = from_buffers(raw[begins[group, k] + place], np.concatenate(([0], np.cumsum(ends[:, k] - begins[:, k]))))
+        quoted = pc.starts_with(own, '"')
+        inner = pc.replace_substring(pc.replace_substring_regex(own, r'\A"|"\z', ""), '""', '"')
+        value = pc.if_else(quoted, inner, own)
+        out.append(pc.if_else(pc.equal(value, ""), pa.scalar(None, pa.large_string()), value).cast(pa.string()))
+    return out
+
+
+def failing_values(df: DataFrame, schema: RowSchema, *, row_id: str = "row_id") -> DataFrame:
+    """Rows of a landed table that fail: row_id, field (the first broken one), value.
+
+    A landed row is held against the anchored pattern of its judged columns; those that fail go through the patterns of
+    growing prefixes, the first of which that fails names the field. Null and blank values are good. Repeated rows come out
+    repeated, empty tables give none, other columns aren't read. Runs inside the JVM, no shuffle.
+    """
+    values = [F.col(f"`{f}`").cast("string") for f in schema.judged]
+    row = F.concat_ws("\x00", *(F.translate(F.coalesce(v, F.lit("")), "\x00", "\ufffd") for v in values))
+    first = [F.when(~F.col("_row").rlike(schema.landed(k)), F.struct(F.lit(f).alias("field"), v.alias("value"))) for k, (f, v) in enumerate(zip(schema.judged, values), 1)]
+    bad = df.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), *(F.col(f"`{f}`") for f in schema.judged), row.alias("_row")).where(~F.col("_row").rlike(schema.landed()))
+    return bad.select("row_id", F.coalesce(*first).alias("_f")).select("row_id", "_f.field", "_f.value")

@@ -49,9 +49,9 @@ def _shredded(which: str):
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     lines = rowcheck.failing_lines(table(spark, d, "raw_lines"), [rowcheck.CUSTOMER_ROW, rowcheck.USER_ROW])
     parts = [lines.select(F.lit("raw_lines").alias("source_table"), "row_id", "reason")]
-    for name, column, good in (("customers_qa", "height", rowcheck.HEIGHT), ("users", "item_count", rowcheck.ITEM_COUNT)):
-        bad = rowcheck.failing_values(table(spark, d, name), column, good)
-        parts.append(bad.select(F.lit(name).alias("source_table"), "row_id", F.lit("value").alias("reason")))
+    for schema in (rowcheck.CUSTOMER_ROW, rowcheck.USER_ROW):
+        bad = rowcheck.failing_values(table(spark, d, schema.name), schema)
+        parts.append(bad.select(F.lit(schema.name).alias("source_table"), "row_id", F.lit("value").alias("reason")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

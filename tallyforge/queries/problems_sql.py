@@ -28,9 +28,10 @@ every AS (
 """
 
 _FIELD = r"""(?:[^",\r\n]*|"(?:[^"]|"")*")"""
+_LOOSE = r"""(?:[^",]*|"(?:[^"]|"")*")"""
 _LINES = rf"""
 WITH l AS (
-  SELECT row_id, target_table, line, CASE target_table WHEN 'customers_qa' THEN 20 ELSE 7 END AS want, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*') AS well,
+  SELECT row_id, target_table, line, CASE target_table WHEN 'customers_qa' THEN 20 ELSE 7 END AS want, regexp_full_match(line, '{_LOOSE}(?:,{_LOOSE})*', 's') AS well, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*', 's') AS unbroken,
          CASE target_table WHEN 'customers_qa' THEN regexp_full_match(line, '(?:{_FIELD},){{17}}(?:\s*|-?[0-9]+(?:\.[0-9]{{1,2}})?|"(?:\s*|-?[0-9]+(?:\.[0-9]{{1,2}})?)")(?:,{_FIELD}){{2}}')
                            ELSE regexp_full_match(line, '(?:{_FIELD},){{6}}(?:\s*|[0-9]{{1,18}}|"(?:\s*|[0-9]{{1,18}})")') END AS good
   FROM raw_lines WHERE target_table IN ('customers_qa', 'users')),
@@ -63,7 +64,7 @@ SELECT 'orders_qa' AS child_table, strftime(t, '%Y-%m') AS month, kind, count(*)
     "p3_found": _CAMPAIGNS + """
 SELECT row_id, event_pos::INT AS event_pos, element_pos::INT AS element_pos, c ->> '$.assetId' AS asset_id FROM every WHERE c ->> '$.assetId' <> ''""",
     "p4_found": _LINES + r"""
-SELECT 'raw_lines' AS source_table, row_id, CASE WHEN NOT well THEN 'quoting' WHEN have <> want THEN 'column_count' ELSE 'value' END AS reason FROM n WHERE NOT well OR have <> want OR NOT good
+SELECT 'raw_lines' AS source_table, row_id, CASE WHEN NOT well THEN 'quoting' WHEN have <> want THEN 'column_count' WHEN NOT unbroken THEN 'quoting' ELSE 'value' END AS reason FROM n WHERE NOT well OR have <> want OR NOT good
 UNION ALL SELECT 'customers_qa', row_id, 'value' FROM customers_qa WHERE trim(height) <> '' AND NOT regexp_full_match(height, '-?[0-9]+(?:\.[0-9]{1,2})?')
 UNION ALL SELECT 'users', row_id, 'value' FROM users WHERE trim(item_count) <> '' AND NOT regexp_full_match(item_count, '[0-9]{1,18}')""",
     "p5_found": _PROFILE + "SELECT load_id, column_name FROM f JOIN m USING (column_name) WHERE coalesce(abs(a - ma) > 0.15, false) OR coalesce(abs(b - mb) > 0.15, false) OR coalesce(abs(c - mc) > 0.15, false) OR coalesce(abs(d - md) > 10, false)",

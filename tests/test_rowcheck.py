@@ -4,6 +4,7 @@ import random
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tallyforge.operators import rowcheck
 from tallyforge.operators.rowcheck import USER_ROW, RowSchema, judge
@@ -15,11 +16,14 @@ FIELD = r'(?:[^",\r\n]*|"(?:[^"]|"")*")'
 def plain(line, n, last=r"[0-9]{1,18}"):
     line = line or ""
     body = re.sub(r"(\r\n|\n|\r)\Z", "", line)
+    calm = re.sub(r"[\r\n]", " ", body)  # line breaks say nothing of quotes and columns
+    if not re.fullmatch(f"{FIELD}(?:,{FIELD})*", calm, re.S):
+        return "quoting"
+    if len(next(csv.reader(io.StringIO(calm, newline="")), [""])) != n:
+        return "column_count"
     if not re.fullmatch(f"{FIELD}(?:,{FIELD})*", body, re.S):
         return "quoting"
     row = next(csv.reader(io.StringIO(body, newline="")), [""])
-    if len(row) != n:
-        return "column_count"
     return None if not row[-1].strip() or re.fullmatch(last, row[-1]) else "value"
 
 
@@ -35,10 +39,10 @@ def test_judged_like_a_plain_reader():
 
 def test_first_broken_field():
     schema = RowSchema("t", ("a", "b", "c"), (("c", "[0-9]+"),))
-    lines = ["1,2,3", '1,"2,3', "1,2", "1,2,3,4", "1,2,x", "", '"1"z,2,3', '1,2,"4 "', '1,2,"4"']
+    lines = ["1,2,3", '1,"2,3', "1,2", "1,2,3,4", "1,2,x", "", '"1"z,2,3', '1,2,"4 "', '1,2,"4"', "1|2\n3|4", "1\n,2", '1\n,"2', "1,2\n2,3", "1,2\n2,x", "1,2,3\n"]
     reason, broken = judge(pa.array(lines), schema)
-    assert reason.tolist() == [None, "quoting", "column_count", "column_count", "value", "column_count", "quoting", "value", None]
-    assert broken.tolist() == [0, 2, 3, 4, 3, 2, 1, 3, 0]
+    assert reason.tolist() == [None, "quoting", "column_count", "column_count", "value", "column_count", "quoting", "value", None, "column_count", "column_count", "quoting", "quoting", "quoting", None]
+    assert broken.tolist() == [0, 2, 3, 4, 3, 2, 1, 3, 0, 2, 3, 2, 2, 2, 0]
 
 
 def test_tables(spark):
@@ -64,5 +68,25 @@ def test_schema_of_one_field(spark):
 def test_landed_values(spark):
     values = [None, "", " ", "　", "1", "-1", "1.5", "1.55", "1.555", "1.", ".5", "+1", "1 ", "NaN", "1e3", "９", "-", "5'2\"", "x" * 100000]
     df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(values)], "row_id bigint, height string, value string")
-    bad = {r.value for r in rowcheck.failing_values(df, "height", rowcheck.HEIGHT).collect()}
+    bad = {r.value for r in rowcheck.failing_values(df, rowcheck.CUSTOMER_ROW).collect()}
     assert bad == {"1.555", "1.", ".5", "+1", "1 ", "NaN", "1e3", "９", "-", "5'2\"", "x" * 100000}
+
+
+def test_first_broken_landed_column(spark):
+    schema = RowSchema("t", ("a", "b", "c"), (("a", "[0-9]+"), ("c", "[a-z]")))
+    rows = [(1, "1", "?", "x"), (2, None, None, None), (3, "x", None, "?"), (4, "1", None, "?"), (5, "1\x001", None, "x"), (6, "7", None, "x\x00"), (6, "7", None, "x\x00"), (7, " ", None, "\n"), (None, "-", "", "")]
+    df = spark.createDataFrame(rows, "row_id bigint, a string, b string, c string").withColumn("field", F.lit("clash"))
+    got = [tuple(r) for r in rowcheck.failing_values(df, schema).collect()]
+    assert sorted(got, key=str) == sorted([(3, "a", "x"), (4, "c", "?"), (5, "a", "1\x001"), (6, "c", "x\x00"), (6, "c", "x\x00"), (None, "a", "-")], key=str)
+    assert rowcheck.failing_values(df.limit(0), schema).collect() == []
+
+
+def test_fields_like_a_plain_reader():
+    r = random.Random(3)
+    parts = ["a", "", '"x"', '"a,b"', '"say ""hi"""', '"line\nbreak"', '""', '""""', "ü", '"ü,"', " "]
+    lines = [",".join(r.choice(parts) for _ in range(3)) + r.choice(["", "\n", "\r\n"]) for _ in range(2000)] + [None] * 0
+    want = [[x or None for x in next(csv.reader(io.StringIO(x, newline="")))] for x in lines]
+    got = rowcheck.fields_of(pa.array(lines), 3)
+    assert [list(row) for row in zip(*(c.to_pylist() for c in got))] == want
+    assert [len(c) for c in rowcheck.fields_of(pa.array([], pa.string()), 3)] == [0, 0, 0]
+    assert rowcheck.fields_of(pa.array(["", None, "x"]), 1)[0].to_pylist() == [None, None, "x"]
