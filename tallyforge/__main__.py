@@ -25,11 +25,13 @@ def statements(text: str) -> list[str]:
 
 
 def shown(df: DataFrame, most: int = 1000) -> str:
-    """At most so many rows, as a table of text."""
+    """At most so many rows, as a table of text; a last line says if there are more."""
     cell = lambda v: "NULL" if v is None else ";".join(map(str, v)) if isinstance(v, list) else str(v)
-    rows = [df.columns, *([cell(v) for v in r] for r in df.take(most))]
+    taken = df.take(most + 1)
+    rows = [df.columns, *([cell(v) for v in r] for r in taken[:most])]
     widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in rows)
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in rows]
+    return "\n".join(lines + [f"(more than {most} rows; write them with SELECT ... INTO)"] * (len(taken) > most))
 
 
 def main(args: list[str]) -> int:

@@ -96,7 +96,8 @@ class Engine:
     def run(self, s):
         if isinstance(s, Select):
             self.permit("ExportData" if s.into else "ViewDatabase")
-            df = self.planner().select(s if s.limit is not None or self.default_limit is None else _limited(s, self.default_limit))
+            # what is written goes out whole
+            df = self.planner().select(s if s.limit is not None or self.default_limit is None or s.into else _limited(s, self.default_limit))
             return self.export(df, s.into, s.options) if s.into else df
         if isinstance(s, Filter):
             self.permit("ViewDatabase")

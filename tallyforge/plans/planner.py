@@ -311,10 +311,16 @@ class _Plan:
         if not self.p.compat:
             return F.avg(n), T.DoubleType()
         # cut off at the column's scale; nothing gives 0
-        scale = v.type.scale if isinstance(v.type, T.DecimalType) else 0 if v.is_whole else 6
+        if v.is_whole or isinstance(v.type, T.DecimalType):
+            # in whole units of the scale, so that nothing is lost to binary fractions
+            scale = v.type.scale if isinstance(v.type, T.DecimalType) else 0
+            units = (n.cast(T.DecimalType(max(v.type.precision, scale), scale)) * F.lit(10**scale).cast(T.DecimalType(scale + 1, 0))).cast(T.DecimalType(v.type.precision, 0)) if scale else n.cast(T.DecimalType(20, 0))
+            whole = F.coalesce(F.call_function("div", F.sum(units), F.nullif(F.count(units), F.lit(0))), F.lit(0))
+            return (whole / F.lit(float(10**scale)) if scale else whole), T.DoubleType()
+        scale = 6
         cut = F.coalesce(F.avg(n.cast("double")), F.lit(0.0)) * 10**scale
         cut = F.when(cut < 0, F.ceil(cut)).otherwise(F.floor(cut)) / 10**scale
-        return (cut.cast("bigint") if scale == 0 else cut), T.DoubleType()
+        return cut, T.DoubleType()
 
     def finish(self, cols: list[tuple[str, Column]], c: Compiler, named: list) -> DataFrame:
         q = self.q

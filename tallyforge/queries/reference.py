@@ -98,7 +98,7 @@ add("p04_guarded_column", "SELECT o_orderkey, o_orderpriority IF o_totalprice >
 add("p05_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 add("p06_equal", "SELECT c_custkey FROM customer WHERE c_mktsegment == 'BUILDING'", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 add("p07_not_equal", "SELECT row_id FROM customers_qa WHERE city != 'Port Halstone'", "SELECT row_id FROM customers_qa WHERE city IS DISTINCT FROM 'Port Halstone'", compat=True)
-add("p08_order", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 150000.5 AND o_orderkey < 20000")
+add("p08_order", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 150000.5 AND o_orderdate < '1996-01-01' AND o_custkey > 500 AND o_totalprice <= 300000", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 150000.5 AND o_orderdate < TIMESTAMP '1996-01-01' AND o_custkey > 500 AND o_totalprice <= 300000")
 add("p09_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
 add("p09_not_between", "SELECT row_id FROM customers_qa WHERE age NOT BETWEEN 20 AND 60", "SELECT row_id FROM customers_qa WHERE NOT coalesce(age BETWEEN 20 AND 60, false)", compat=True)
 add("p11_in", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3)")
@@ -110,7 +110,6 @@ add("p20_equals_null", "SELECT row_id FROM customers_qa WHERE city = NULL AND la
 add("p21_columns", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = l_quantity AND l_orderkey > l_partkey")
 add("p22_alias_in_where", "SELECT c_acctbal AS money, c_name AS who FROM customer WHERE money > 5000", "SELECT c_acctbal AS money, c_name AS who FROM customer WHERE c_acctbal > 5000")
 add("p23_function_in_where", "SELECT c_custkey FROM customer WHERE tolower(c_mktsegment) = 'machinery'", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'machinery'")
-add("p25_date_math", "SELECT count(*) AS n FROM events WHERE ts < 'now-1d'", "SELECT count(*) AS n FROM events WHERE ts < now() AT TIME ZONE 'UTC' - INTERVAL 1 DAY")
 add("p26_division", "SELECT l_orderkey, l_linenumber, (l_orderkey + 1) / (l_linenumber - 1) AS whole, l_extendedprice / l_quantity AS unit FROM lineitem", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 1 THEN (l_orderkey + 1) // (l_linenumber - 1) END AS whole, l_extendedprice / nullif(l_quantity, 0) AS unit FROM lineitem")
 
 
@@ -146,6 +145,12 @@ def _(spark, d):
     return engine(spark, d).filter('FILTER kinds INTERSECTS ("fax", "pager")', df).select("row_id")
 
 
+@make("p25_date_math", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-16 12:00:00' - INTERVAL 36 HOUR AND ts > TIMESTAMP '2024-01-16 12:00:00' - INTERVAL 1 WEEK")
+def _(spark, d):
+    now = F.lit("2024-01-16 12:00:00").cast("timestamp")
+    return engine(spark, d).filter('FILTER AND ( ts < "now-36h", ts > "now-1w" )', table(spark, d, "events"), now).select("event_id")
+
+
 @make("p27_stratified_sample", None)
 def _(spark, d):
     return engine(spark, d).sql("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE sample_stratified('l_returnflag', 10) GROUP BY l_returnflag")
@@ -179,6 +184,15 @@ add("a02_count_column_rows", "SELECT count(city) AS n FROM customers_qa", "SELEC
 add("a03_sum", "SELECT sum(l_linenumber) AS s FROM lineitem")
 add("a04_avg", "SELECT avg(age) AS a FROM customers_qa WHERE age BETWEEN 0 AND 120")
 add("a04_avg_cut", "SELECT avg(age) AS a FROM customers_qa WHERE age BETWEEN 0 AND 120", "SELECT floor(avg(age))::BIGINT AS a FROM customers_qa WHERE age BETWEEN 0 AND 120", compat=True)
+
+
+@make("a04_avg_cut_decimal", "SELECT l_orderkey, ((sum(CAST(l_discount AS DECIMAL(18,2))) * 100)::HUGEINT // count(*))::DOUBLE / 100 AS a, (sum(l_linenumber) // count(*))::BIGINT AS b, ((sum(CAST(-l_extendedprice AS DECIMAL(18,2))) * 100)::HUGEINT // count(*))::DOUBLE / 100 AS c FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    e = engine(spark, d, compat=True)
+    e.register("lines", table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_discount as decimal(18,2)) as discount", "cast(-l_extendedprice as decimal(18,2)) as debt"))
+    return e.sql("SELECT l_orderkey, avg(discount) AS a, avg(l_linenumber) AS b, avg(debt) AS c FROM lines GROUP BY l_orderkey")
+
+
 add("a05_min_max", "SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
 add("a06_multi_aggregate", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, avg(l_quantity) AS avg_qty, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, avg(l_quantity) AS avg_qty, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 add("a07_group_drops_missing", "SELECT state, count(*) AS n FROM customers_qa GROUP BY state", "SELECT state, count(*) AS n FROM customers_qa WHERE state IS NOT NULL GROUP BY state", compat=True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,6 +24,7 @@ def build_session(app: str = "tallyforge", cpus: int | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TALLYFORGE_DRIVER_MEMORY", "8g"))
     )
     for k, v in conf.items():
@@ -38,17 +41,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine,
-    a temporary one is set.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a session on one machine, as in tests, takes a
+    temporary folder that is removed at its end; on a cluster, whose machines would not share it, that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _folder_of_tests(sc.master))
     return df.checkpoint(eager=True)
 
 
+def _folder_of_tests(master: str) -> str:
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    where = tempfile.mkdtemp(prefix="tallyforge-checkpoint-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return where
+
+
+def release(*dfs: DataFrame) -> None:
+    """Remove the files of checkpointed DataFrames that nothing will read any more. Those handed out with a result are left to
+    Spark, which removes them with spark.cleaner.referenceTracking.cleanCheckpoints."""
+    for df in dfs:
+        at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if at.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

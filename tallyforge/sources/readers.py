@@ -60,10 +60,16 @@ def partition_of(name: str, n: int) -> int:
     return zlib.crc32(name.encode()) % n
 
 
-def files(folder: str, suffix: str = "", partition: int | None = None, of: int = 1) -> list[str]:
-    """Files below a folder in order; with a partition only its share."""
-    found = sorted(os.path.join(d, f) for d, _, fs in os.walk(folder) for f in fs if f.endswith(suffix) and not f.startswith(("_", ".")))
-    return [f for f in found if partition is None or partition_of(os.path.relpath(f, folder), of) == partition]
+def files(spark: SparkSession, folder: str, suffix: str = "", partition: int | None = None, of: int = 1) -> list[str]:
+    """Files below a folder of any file system Spark knows, in order; with a partition only its share."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, every = fs.makeQualified(root).toString().rstrip("/") + "/", [], fs.listFiles(root, True)
+    while every.hasNext():
+        path = every.next().getPath()
+        if path.getName().endswith(suffix) and not path.getName().startswith(("_", ".")):
+            found.append(path.toString())
+    return [f for f in sorted(found) if partition is None or partition_of(f.removeprefix(base), of) == partition]
 
 
 def pages(spark: SparkSession, paths: list[str], read: Callable[[SparkSession, str], DataFrame] | None = None) -> Iterator[DataFrame]:
@@ -72,12 +78,11 @@ def pages(spark: SparkSession, paths: list[str], read: Callable[[SparkSession, s
         yield read(spark, p) if read is not None else open_source(spark, {"path": p}).popitem()[1]
 
 
-def sampled_schema(df: DataFrame, most: int = 1000) -> T.StructType:
-    """Types that a sample of text rows fits: whole, number, boolean, timestamp, else text."""
-    sample = df.limit(most)
+def fitting_schema(df: DataFrame) -> T.StructType:
+    """Types that all text rows fit: whole, number, boolean, timestamp, else text; a column without values is text."""
     fits = {"bigint": r"^[-+]?\d{1,18}$", "double": r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$", "boolean": r"^(?i:true|false)$", "timestamp": r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z?)?$"}
     wanted = [F.coalesce(F.bool_and(F.col(f"`{c}`").cast("string").rlike(p)), F.lit(False)).alias(f"{i}_{t}") for i, c in enumerate(df.columns) for t, p in fits.items()]
-    got = sample.agg(*wanted).first() if df.columns else {}
+    got = df.agg(*wanted).first() if df.columns else {}
     kinds = [next((t for t in fits if got[f"{i}_{t}"]), "string") for i in range(len(df.columns))]
     return T.StructType([T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(df.columns, kinds)])
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.engine import Engine
 from tallyforge.operators import relational as R
 
 
@@ -45,3 +46,15 @@ def test_algebra(spark):
     c = F.col("id")
     assert [r.id for r in df.where(R.bitmap_algebra([c < 3, c > 9], [c != 1], [c == 11, F.lit(None).cast("boolean")])).collect()] == [0, 2, 10]
     assert df.where(R.bitmap_algebra([], [], [])).count() == 12
+
+
+def test_compat_average_is_cut_exactly(spark):
+    """No value of two decimals is cut one too low."""
+    e = Engine(spark, compat=True)
+    df = spark.range(1, 2000).selectExpr("id", "cast(id / 100 as decimal(18,2)) as v", "explode(array(1, 2, 3)) as copy")
+    e.register("t", df)
+    assert e.sql("select id, avg(v) as a from t group by id").where("cast(a * 100 as decimal(18,4)) <> id").count() == 0
+    e.register("u", spark.sql("select cast(v as decimal(18,2)) as v, k from values (0.01, 1), (0.02, 1), (-0.01, 2), (-0.02, 2), (null, 3) as x(v, k)"))
+    assert sorted(map(tuple, e.sql("select k, avg(v) as a from u group by k").collect())) == [(1, 0.01), (2, -0.01), (3, 0.0)]
+    e.register("w", spark.range(1).selectExpr("cast(0.123456789012345678 as decimal(18,18)) as v"))
+    assert e.sql("select avg(v) as a from w").first().a == 0.123456789012345678

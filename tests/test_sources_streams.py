@@ -15,7 +15,7 @@ def test_files_and_sources(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"id": 1, "deep": {"k": [1, 2]}}\n{"id": 2}\n')
     df = readers.csv(spark, str(tmp_path / "a.csv"))
     assert [tuple(r) for r in df.collect()] == [("1", "x, y", "2020-01-01"), ("2", None, "2020-01-02")]
-    assert [f.dataType.simpleString() for f in readers.sampled_schema(df).fields] == ["bigint", "string", "timestamp"]
+    assert [f.dataType.simpleString() for f in readers.fitting_schema(df).fields] == ["bigint", "string", "timestamp"]
     e = Engine(spark, compat=False)
     e.sql(f"create source files with type=json, path='{tmp_path}/b.json'")
     assert e.sql("select id from files.b where deep.k = 2").count() == 1
@@ -30,9 +30,9 @@ def test_files_and_sources(spark, tmp_path):
     assert lite.where("a >= 10 and a < 20 and b is not null").count() == 7 and lite.where("b = 'w7'").first().a == 7
     e.sql(f"create source lite with type=sqlite, table=t, path='{tmp_path}/s.db'")
     assert e.sql("select count(*) as n from t where b = null").first().n == 34
-    names = readers.files(str(tmp_path), ".csv") + readers.files(str(tmp_path), ".json")
-    parts = [readers.files(str(tmp_path), "", p, 3) for p in range(3)]
-    assert sum(map(len, parts)) == len(readers.files(str(tmp_path))) and len(names) == 2
+    names = readers.files(spark, str(tmp_path), ".csv") + readers.files(spark, str(tmp_path), ".json")
+    parts = [readers.files(spark, str(tmp_path), "", p, 3) for p in range(3)]
+    assert sum(map(len, parts)) == len(readers.files(spark, str(tmp_path))) and len(names) == 2
     assert [d.count() for d in readers.pages(spark, names)] == [2, 2]
     with pytest.raises(ValueError, match="no source"):
         readers.open_source(spark, {"type": "nothing"})
