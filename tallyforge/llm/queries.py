@@ -38,13 +38,13 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_texts(table(spark, d, "documents"), item_id="doc_id", text="text", limit=PIECE, overlap=OVERLAP)
+    pieces = splitting.split_texts(table(spark, d, "documents"), item_id="doc_id", text="text", limit=PIECE, overlap=OVERLAP)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that are cut: those with a second piece."""
-    cuts = splitting.split_plan(table(spark, d, "documents"), item_id="doc_id", text="text", limit=PIECE, overlap=OVERLAP)
-    return cuts.where("piece = 1").select(F.col("key").cast("bigint").alias("doc_id"))
+    return p9_pieces(spark, d).where("piece = 1").select("doc_id")
 
 
 QUERIES = {"p7_found": p7_found, "p7_assignment": p7_assignment, "p7_summary": p7_summary, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_pieces": p9_pieces}

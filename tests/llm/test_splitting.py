@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -37,8 +38,8 @@ def test_pieces(spark, range_bytes, limit, overlap):
     text = {i: t for i, t, _, _ in docs}
     by = {}
     for x in rows:
-        by.setdefault(int(x.doc_id), []).append((x.piece, x.begin, x.end, x.text))
-    assert set(by) == {i for i, t in text.items() if i is not None and t is not None and len(t.encode()) > limit}
+        by.setdefault(x.doc_id and int(x.doc_id), []).append((x.piece, x.begin, x.end, x.text))
+    assert set(by) == {i for i, t in text.items() if t is not None and len(t.encode()) > limit}
     for i, pieces in by.items():
         check(pieces, text[i], limit, overlap)
 
@@ -54,10 +55,72 @@ def test_strongest_boundary_in_reach(spark):
     text = "a\n" * 30 + "diff --git a b\n" + "b\n" * 8 + "@@ -1 +1 @@\n" + "c\n" * 60
     df = spark.createDataFrame([(1, text, "", 0), (1, text, "", 0)], SCHEMA)
     rows = sorted(splitting.split_plan(df, item_id="doc_id", text="text", limit=110, overlap=10).collect())
+    assert rows[::2] == rows[1::2]  # repeated rows come out repeated
+    rows = rows[::2]
     assert rows[0].end == 60 and rows[1].begin == 50
     assert text[rows[1].end :].startswith("@@ ") or text[rows[1].end - 1] == "\n"
 
 
+def test_long_blank_lines_across_edges(spark):
+    """A blank line longer than any halo makes a paragraph, wherever the ranges lie."""
+    text = "word\n" * 30 + " " * 300 + "\n" + "\t" * 90 + "\n" + "more\n" * 60 + "\n" + " " * 5000 + "\n" + "end\n" * 50
+    df = spark.createDataFrame([(1, text, "", 0), (2, "\n" + text, "", 0), (3, " " * 400 + text, "", 0)], SCHEMA)
+    plans = [sorted(map(tuple, splitting.split_plan(df, item_id="doc_id", text="text", limit=200, overlap=10, range_bytes=k).collect())) for k in (1 << 20, 1000, 141, 130, 7)]
+    assert all(p == plans[0] for p in plans)
+    assert 542 in [end for key, _, _, end in plans[0] if key == "1"]  # behind the tabs
+
+
+def test_ids_may_be_shared(spark):
+    a, b = "first line\n" * 50, "x" * 30 + "\n" + "other\n" * 90
+    df = spark.createDataFrame([(1, a, "", 0), (1, b, "", 0), (None, b, "", 0), (None, a, "", 0)], SCHEMA)
+    rows = splitting.split_texts(df, item_id="doc_id", text="text", limit=100, overlap=0).orderBy("doc_id", "piece", "begin").collect()
+    for key in (None, "1"):
+        own = sorted((r.piece, r.begin, r.end, r.text) for r in rows if r.doc_id == key)
+        assert "".join(sorted(t for *_, t in own)) == "".join(sorted(t for text in (a, b) for *_, t in plain(text, 100, 0)))
+
+
+def plain(text, limit, overlap):
+    """Cuts byte by byte."""
+    raw = text.encode()
+    kinds = {}
+    for m in re.finditer(rb"\n", raw):
+        p = m.end()
+        before = raw.rfind(b"\n", 0, p - 1)
+        kinds[p] = 4 if re.match(rb"diff --git |diff --cc |Index: |From [0-9a-f]{40} ", raw[p:]) else 3 if re.match(rb"@@ -[0-9]", raw[p:]) else 2 if before >= 0 and not raw[before : p - 1].strip() else 1
+    out, begin = [], 0
+    while True:
+        if len(raw) - begin <= limit:
+            return [*out, (len(out), begin, len(raw), raw[begin:].decode())]
+        end = 0
+        for low in (begin + max(limit // 2, overlap), begin + overlap):
+            found = [(k, p) for p, k in kinds.items() if low < p <= begin + limit]
+            end = end or (max(found)[1] if found else 0)
+        if not end:
+            end = begin + limit
+            while raw[end] & 0xC0 == 0x80:
+                end -= 1
+        out.append((len(out), begin, end, raw[begin:end].decode()))
+        begin = end - overlap
+        while begin < end and raw[begin] & 0xC0 == 0x80:
+            begin += 1
+
+
+def test_against_plain_cuts(spark, tmp_path):
+    """Rows and files are cut alike, whatever the ranges."""
+    r = random.Random(4)
+    texts = [make(r, 6000) + r.choice(["", "\n", "From " + "a" * 40 + " x\n", "Index: x"]) + make(r, 3000) for _ in range(6)]
+    want = [plain(t, 300, 40) for t in texts]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    for k in (1 << 20, 999, 64):
+        got = splitting.split_texts(df, item_id="doc_id", text="text", limit=300, overlap=40, range_bytes=k).collect()
+        assert [sorted((x.piece, x.begin, x.end, x.text) for x in got if x.doc_id == str(i)) for i in range(6)] == want
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i}").write_bytes(t.encode())
+    for k in (1 << 20, 500, 97):  # 97: over 64 ranges a file, so the scan has two levels
+        got = splitting.split_files(spark, [str(tmp_path / f"f{i}") for i in range(6)], limit=300, overlap=40, range_bytes=k).collect()
+        assert [sorted((x.piece, x.begin, x.end, x.text) for x in got if x.path.endswith(f"f{i}")) for i in range(6)] == want
+
+
 def test_files(spark, tmp_path):
     r = random.Random(1)
     texts = {"a": make(r, 30000), "b": "", "c": "short", "d": "é" * 5000}
