@@ -29,11 +29,12 @@ def frames(spark, docs, items):
     return spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
 
 
-@pytest.fixture(params=[None, 40])
+@pytest.fixture(params=[None, 150])
 def blocks(request, monkeypatch):
     """One block, and many."""
     if request.param:
         monkeypatch.setattr(leakage, "MOST_NGRAMS", request.param)
+        monkeypatch.setattr(leakage, "SEGMENT_NGRAMS", 7)
 
 
 @pytest.fixture
@@ -87,6 +88,24 @@ def test_spans_and_cleaning(spark, data, blocks):
     assert {r.doc_id for r in kept} == set(text) - hit and all(r.text == text[r.doc_id] for r in kept)
 
 
+def test_rows_are_judged_each_for_itself(spark, blocks):
+    """Repeated rows, rows of one id and rows without an id, in one block as in several."""
+    quote = "one two three four five six"
+    items = [(i, f"{quote} x{i} " + " ".join(f"w{i}{k}" for k in range(40)), "") for i in range(12)] + [(3, f"{quote} x3 " + " ".join(f"w3{k}" for k in range(40)), "")]
+    docs = [(1, f"a {quote} b", ""), (1, f"a {quote} b", ""), (1, "nothing here at all", ""), (None, f"ÄÖ {quote.upper()}!", ""), (None, f"ÄÖ {quote.upper()}!", ""), (None, None, ""), (2, "w70, w71 \x01w72\x02 W73", ""), (4, "İ " + " ".join(f"w5{k}" for k in range(30)) + " 東京 " + quote, "")]
+    d, i = frames(spark, docs, items)
+    pairs = sorted((tuple(r) for r in leakage.find_leaks(d, i, n=4).collect()), key=str)
+    assert pairs == sorted([(k, x) for k in (1, 1, None, None, 4) for x in range(12)] + [(2, 7)], key=str)
+    spans = sorted((tuple(r) for r in leakage.leaked_spans(d, i, n=4).collect()), key=str)
+    text5 = docs[7][1]
+    want = [(k, x, a, a + len(quote)) for k, a in ((1, 2), (1, 2), (None, 3), (None, 3), (4, text5.index("one"))) for x in range(12)] + [(2, 7, 0, len(docs[6][1])), (4, 5, 2, text5.index(" 東京"))]
+    assert spans == sorted(want, key=str)
+    clean = sorted((tuple(r) for r in leakage.without_leaks(d, i, n=4).collect()), key=str)
+    assert clean == sorted([(1, "a  b", 27), (1, "a  b", 27), (1, "nothing here at all", 0), (None, "ÄÖ !", 27), (None, "ÄÖ !", 27), (None, None, 0), (2, "", len(docs[6][1])), (4, "İ  東京 ", len(text5) - 6)], key=str)
+    kept = sorted((tuple(r) for r in leakage.without_leaks(d, i, n=4, drop_documents=True).collect()), key=str)
+    assert kept == sorted([(1, "nothing here at all", 0), (None, None, 0)], key=str)
+
+
 def test_empty_tables(spark, data):
     d, i = frames(spark, *data)
     assert leakage.find_leaks(d.limit(0), i).collect() == []
