@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import arrow_map, checkpointed, shuffle_width
+from tallyforge.session import arrow_map, checkpointed, release, shuffle_width
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,8 @@ class Breeding:
     neighbourhood: int = 1500
     islands: int = 3
     population: int = 6
-    epochs: int = 2
-    children: int = 60
+    epochs: int = 3
+    children: int = 40
     slack: float = 0.0003
     levels: int = 6
 
@@ -209,10 +209,12 @@ def pack(df: DataFrame, *, item_id: str, size, capacity: int, breeding: Breeding
     solid = measured.where("full > 0").select("id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), "at")
     solid = solid.select("id", "piece", F.lit(c).alias("size"), F.concat_ws("-", F.lit("whole"), "at", "piece").alias("container"), F.lit(c).cast("bigint").alias("fill"))
 
-    rest = checkpointed(rest)
+    rest = first = checkpointed(rest)
     count, done = rest.count(), []
     for level in range(breeding.levels):
         packed = checkpointed(_breed(rest, count, c, breeding, level))
+        if level == 0:
+            release(first)
         last = level + 1 == breeding.levels or count <= breeding.neighbourhood
         named = packed.withColumn("container", F.concat_ws("-", F.lit(level), "nb", "bin"))
         done.append((named if last else named.where(F.col("fill") >= c * (1 - breeding.slack))).select("id", "piece", "size", "container", "fill"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import leakage, packing, splitting
@@ -25,6 +25,14 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_summary(p7_assignment(spark, d), CAPACITY)
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document: the pieces and tokens that containers hold of it, and whether none of these holds too much."""
+    packed = p7_assignment(spark, d)
+    fills = packed.groupBy("container").agg(F.sum("size").alias("held"))
+    own = packed.join(fills, "container").groupBy("doc_id")
+    return own.agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").cast("bigint").alias("tokens"), (F.max("held") <= CAPACITY).alias("fits"), F.bool_and(F.col("held") == F.col("fill")).alias("fill_told"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), n=NGRAM)
 
@@ -47,10 +55,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece = 1").select("doc_id")
 
 
-QUERIES = {"p7_found": p7_found, "p7_assignment": p7_assignment, "p7_summary": p7_summary, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_pieces": p9_pieces}
+def p9_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document that is cut: the text put together again from its pieces, and whether these keep to limit and overlap."""
+    size = F.col("end") - F.col("begin")
+    before = Window.partitionBy("doc_id").orderBy("piece")
+    last = F.lag("end").over(before)
+    overlap = F.coalesce(last - F.col("begin"), F.lit(OVERLAP))
+    pieces = p9_pieces(spark, d).withColumns({"last": F.coalesce(last, F.lit(0)), "shared": overlap})
+    fresh = F.expr("decode(substring(cast(text AS binary), cast(last - begin + 1 AS int)), 'utf-8')")
+    kept = pieces.select("doc_id", "piece", F.when(F.col("piece") == 0, F.col("text")).otherwise(fresh).alias("t"), ((size <= PIECE) & F.col("shared").between(OVERLAP - 3, OVERLAP) & (F.octet_length("text") == size)).alias("ok"))
+    whole = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "t"))), lambda x: x["t"]), "").alias("text"), F.bool_and("ok").alias("ok"))
+    return whole.select("doc_id", F.md5(F.col("text")).alias("digest"), "ok")
+
+
+QUERIES = {"p7_found": p7_found, "p7_assignment": p7_assignment, "p7_summary": p7_summary, "p7_whole": p7_whole, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_pieces": p9_pieces, "p9_rebuilt": p9_rebuilt}
 
 SQL = {
     "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {CAPACITY}",
+    "p7_whole": f"SELECT doc_id, greatest(1, ceil(coalesce(strlen(text), 0) / {CAPACITY}))::BIGINT AS pieces, coalesce(strlen(text), 0) AS tokens, true AS fits, true AS fill_told FROM documents",
+    "p9_rebuilt": f"SELECT doc_id, md5(text) AS digest, true AS ok FROM documents WHERE strlen(text) > {PIECE}",
     "p8_found": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents),
 e AS (SELECT item_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM eval_items),
