@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from collections.abc import Callable
@@ -82,15 +83,13 @@ class Engine:
 
     def sql(self, text: str, params: list | None = None):
         """Run a statement. SELECT, SHOW and DESCRIBE give a DataFrame, changes the number of rows."""
-        low = text.strip().rstrip(";").lower()
-        if low.startswith("prepare "):
-            name, _, body = text.strip().rstrip(";")[8:].partition(" from ")
-            self.prepared[name.strip()] = body.strip().strip("'\"")
+        whole = text.strip().rstrip(";")
+        if m := re.match(r"prepare\s+(\S+)\s+from\s+(.+)", whole, re.I | re.S):
+            self.prepared[m[1]] = m[2].strip().strip("'\"")
             return 0
-        if low.startswith("execute "):
-            name, _, using = text.strip().rstrip(";")[8:].partition(" using ")
-            values = [self.variables.get(v.strip(), v.strip()) for v in using.split(",")] if using.strip() else params
-            return self.sql(self.prepared[name.strip()], values)
+        if m := re.match(r"execute\s+(\S+)(?:\s+using\s+(.+))?", whole, re.I | re.S):
+            values = [self.variables.get(v.strip(), v.strip()) for v in m[2].split(",")] if m[2] else params
+            return self.sql(self.prepared[m[1]], values)
         return self.run(parse(text, params))
 
     def run(self, s):

@@ -6,62 +6,78 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tallyforge.columnar import padded, string_buffers
 from tallyforge.functions import jmespath
 from tallyforge.functions.registry import WrongArguments, function
 from tallyforge.plans import values as V
 from tallyforge.session import ship
 
-_M, _MASK = 0xC6A4A7935BD1E995, (1 << 64) - 1
+_M = 0xC6A4A7935BD1E995
 
 
-def murmur64(data: bytes, seed: int = 1) -> int:
-    """MurmurHash64A, as a signed number."""
-    h = seed ^ (len(data) * _M & _MASK)
-    n = len(data) & ~7
-    for k in np.frombuffer(data[:n], "<u8").tolist():
-        k = k * _M & _MASK
-        k = (k ^ (k >> 47)) * _M & _MASK
-        h = (h ^ k) * _M & _MASK
-    if len(data) > n:
-        h = (h ^ int.from_bytes(data[n:], "little")) * _M & _MASK
-    h = (h ^ (h >> 47)) * _M & _MASK
-    h ^= h >> 47
-    return h - (1 << 64) if h >> 63 else h
+def _by_words(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, take) -> tuple[np.ndarray, np.ndarray]:
+    """Hands take the whole words of eight bytes of all texts, word by word: which texts have one, and the words. Returns what is
+    left of each text, as a number and as a count of bytes."""
+    order = np.argsort(-sizes, kind="stable")
+    counts = sizes[order] // 8
+    for w in range(int(counts[0]) if len(counts) else 0):
+        at = order[: np.searchsorted(-counts, -w, "left")]
+        take(at, np.ascontiguousarray(raw[(starts[at] + 8 * w)[:, None] + np.arange(8)]).view("<u8").ravel())
+    rest = sizes % 8
+    tail = padded(raw, starts + sizes - rest, rest, 8)
+    return np.ascontiguousarray(tail).view("<u8").ravel(), rest
 
 
-def siphash(data: bytes, k0: int = 0, k1: int = 1) -> int:
-    """SipHash-2-4, as a signed number."""
+def murmur64(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 1) -> np.ndarray:
+    """MurmurHash64A of the slices of raw, as signed numbers."""
+    m, r = np.uint64(_M), np.uint64(47)
+    h = np.uint64(seed) ^ (sizes.astype(np.uint64) * m)
+
+    def take(at: np.ndarray, k: np.ndarray) -> None:
+        k = k * m
+        h[at] = (h[at] ^ ((k ^ (k >> r)) * m)) * m
+
+    tail, rest = _by_words(raw, starts, sizes, take)
+    h = np.where(rest > 0, (h ^ tail) * m, h)
+    h = (h ^ (h >> r)) * m
+    return (h ^ (h >> r)).view(np.int64)
+
+
+def siphash(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k0: int = 0, k1: int = 1) -> np.ndarray:
+    """SipHash-2-4 of the slices of raw, as signed numbers."""
     # the constants of the published algorithm spell "somepseudorandomlygeneratedbytes"
     start = b"somepseudorandomlygeneratedbytes"
-    v = [int.from_bytes(start[i : i + 8], "big") ^ (k0, k1)[(i // 8) % 2] for i in range(0, 32, 8)]
+    v = [np.full(len(sizes), int.from_bytes(start[i : i + 8], "big") ^ (k0, k1)[(i // 8) % 2], np.uint64) for i in range(0, 32, 8)]
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-    def rounds(n: int) -> None:
-        a, b, c, d = v
+    def rounds(at, n: int) -> None:
+        a, b, c, d = (x[at] for x in v)
         for _ in range(n):
-            a = (a + b) & _MASK
-            c = (c + d) & _MASK
-            b = ((b << 13 | b >> 51) & _MASK) ^ a
-            d = ((d << 16 | d >> 48) & _MASK) ^ c
-            a = (a << 32 | a >> 32) & _MASK
-            c = (c + b) & _MASK
-            a = (a + d) & _MASK
-            b = ((b << 17 | b >> 47) & _MASK) ^ c
-            d = ((d << 21 | d >> 43) & _MASK) ^ a
-            c = (c << 32 | c >> 32) & _MASK
-        v[:] = a, b, c, d
-
-    n = len(data) & ~7
-    tail = int.from_bytes(data[n:], "little") | (len(data) & 0xFF) << 56
-    for k in [*np.frombuffer(data[:n], "<u8").tolist(), tail]:
-        v[3] ^= k
-        rounds(2)
-        v[0] ^= k
-    v[2] ^= 0xFF
-    rounds(4)
-    h = v[0] ^ v[1] ^ v[2] ^ v[3]
-    return h - (1 << 64) if h >> 63 else h
+            a, c = a + b, c + d
+            b, d = turned(b, 13) ^ a, turned(d, 16) ^ c
+            a = turned(a, 32)
+            c, a = c + b, a + d
+            b, d = turned(b, 17) ^ c, turned(d, 21) ^ a
+            c = turned(c, 32)
+        for x, y in zip(v, (a, b, c, d)):
+            x[at] = y
+
+    def take(at, k: np.ndarray) -> None:
+        v[3][at] ^= k
+        rounds(at, 2)
+        v[0][at] ^= k
+
+    tail, _ = _by_words(raw, starts, sizes, take)
+    every = slice(None)
+    take(every, tail | (sizes.astype(np.uint64) & np.uint64(0xFF)) << np.uint64(56))
+    v[2] ^= np.uint64(0xFF)
+    rounds(every, 4)
+    return (v[0] ^ v[1] ^ v[2] ^ v[3]).view(np.int64)
 
 
 def _session():
@@ -77,7 +93,8 @@ def _hashed(a, f):
 
     @F.pandas_udf("bigint")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([f(x.encode()) if x is not None else None for x in s], dtype="Int64")
+        raw, offsets, valid = string_buffers(pa.array(s, pa.large_string(), from_pandas=True))
+        return pd.Series(f(raw, offsets[:-1], np.diff(offsets)), dtype="Int64").where(valid)
 
     return V.whole(run(_full(a)))
 

@@ -63,13 +63,6 @@ add("s02_default_scan", "SELECT c_custkey, c_name FROM customer")
 add("s16_literal", "SELECT 1 AS one, 'hello' AS word")
 
 
-@make("s03_rownum", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
-def _(spark, d):
-    e = engine(spark, d)
-    e.register("numbered", table(spark, d, "customer").withColumn("_rownum", F.col("c_custkey")))
-    return e.sql("SELECT c_custkey, c_name FROM numbered WHERE @rownum = 7")
-
-
 @make("s10_memory_table", "SELECT * FROM (VALUES (1, 'a', 1.5), (2, 'b', NULL), (3, NULL, 2.5)) AS t(id, name, score)")
 def _(spark, d):
     from tallyforge.sources.readers import rows
@@ -244,26 +237,6 @@ add("d01_prepared", "SELECT 1", "SELECT c_custkey FROM customer WHERE c_nationke
 QUERIES["d01_prepared"] = lambda spark, d: engine(spark, d).sql("SELECT c_custkey FROM customer WHERE c_nationkey = ? AND c_acctbal > ?", [5, 100.5])
 
 
-@make("k07_upsert", "SELECT row_id, cust_id, ship_via FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY row_id DESC) AS k FROM orders_qa) WHERE k = 1")
-def _(spark, d):
-    orders = table(spark, d, "orders_qa").select("order_id", "row_id", "cust_id", "ship_via")
-    last = orders.groupBy("order_id").agg(F.max_by(F.struct("row_id", "cust_id", "ship_via"), "row_id").alias("v")).select("order_id", "v.*")
-    return relational.upsert(orders, last, ["order_id"]).select("row_id", "cust_id", "ship_via")
-
-
-@make("k09_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
-def _(spark, d):
-    df = table(spark, d, "customer")
-    hit = F.coalesce(Compiler(scope_of(df), "compat").predicate(parse_expression("c_acctbal < 0")), F.lit(False))
-    return df.select("c_custkey", F.when(hit, "DEBT").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
-
-
-@make("k11_delete", "SELECT row_id FROM customers_qa WHERE NOT coalesce(city = 'Port Halstone' OR age > 90, false)")
-def _(spark, d):
-    df = table(spark, d, "customers_qa")
-    return df.where(~Compiler(scope_of(df), "compat").predicate(parse_expression("city = 'Port Halstone' OR age > 90"))).select("row_id")
-
-
 # Streaming, over the table that a stream would bring
 
 @make("r10_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
@@ -312,10 +285,6 @@ function("f04_dates", "events", "event_id", {"a": ("yy(ts)", "year(ts) % 100"),
 function("f05_hashes", "customer", "c_custkey", {"a": ("hash.md5(c_name)", "md5(c_name)"), "b": ("hash.sha1(c_name)", "sha1(c_name)"), "c": ("hash.sha256(c_name)", "sha256(c_name)"), "e": ("encoding.b64encode(c_name)", "base64(encode(c_name))"), "f": ("encoding.b64decode(encoding.b64encode(c_name))", "c_name")})
 function("f06_casts", "customers_qa", "row_id", {"a": ("toint(height)", "CASE WHEN regexp_full_match(replace(replace(height, ',', ''), ' ', ''), '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?') THEN trunc(try_cast(replace(replace(height, ',', ''), ' ', '') AS DOUBLE))::BIGINT END"), "b": ("tostring(age)", "age::VARCHAR"), "c": ("cast(age AS float)", "age::DOUBLE"), "e": ("tobool(isActive)", "isActive")})
 function("f07_email", "users", "row_id", {"a": ("emaildomain(email)", "CASE WHEN regexp_full_match(email, '\\s*[^<>@\\s,;]+@[^<>@\\s,;]+\\s*') THEN lower(regexp_extract(email, '@([^<>@\\s,;]+)', 1)) END"), "b": ("email(email)", "CASE WHEN regexp_full_match(email, '\\s*[^<>@\\s,;]+@[^<>@\\s,;]+\\s*') THEN lower(trim(email, E' \\t\\n\\r')) END")})
-function("f08_json", "users", "row_id", {"a": ("json.jmespath(json_data, 'name')", "CASE WHEN json_valid(json_data) THEN json_extract_string(json_data, '$.name') END"), "b": ("json.jmespath(json_data, 'prefs.tags[0]')", "CASE WHEN json_valid(json_data) THEN json_extract_string(json_data, '$.prefs.tags[0]') END")})
-del SQL["f08_json"]  # SQL reads broken JSON otherwise
-
-
 @make("f09_urls", "SELECT doc_id, 'www.x' || doc_id || '.example.com' AS host, 'example.com' AS domain, '/p/' || doc_id AS path, 'A' AS q2, 'a' AS q1, 'www.X' || doc_id || '.Example.com/p/' || doc_id AS main, 'http://www.X' || doc_id || '.Example.com/p/' || doc_id || '?r=2' AS less FROM documents")
 def _(spark, d):
     e = engine(spark, d)

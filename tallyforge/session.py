@@ -7,6 +7,7 @@ import io
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -59,6 +60,20 @@ def _folder_of_tests(master: str) -> str:
     return where
 
 
+def checkpoint_bytes(df: DataFrame) -> int:
+    """Size of the files of a checkpointed DataFrame."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder below the one the cluster shares for checkpoints."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _folder_of_tests(sc.master))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+
+
 def release(*dfs: DataFrame) -> None:
     """Remove the files of checkpointed DataFrames that nothing will read any more. Those handed out with a result are left to
     Spark, which removes them with spark.cleaner.referenceTracking.cleanCheckpoints."""

@@ -1,13 +1,15 @@
 """Tables kept as partitioned Parquet: inserts that update by key, updates and deletes by predicate, partitions, evolution.
 
-A table is a folder of partitions: by day or hour of its time field, else by a hash of its primary key. A change reads and
-rewrites only the partitions it touches; each is replaced by a job that commits as a whole.
+A table is a folder of partitions: by day or hour of its time field, else by a hash of its primary key into buckets that grow
+in number with the table. A change reads and rewrites only the partitions it touches, in one job; partitions that it empties
+get a mark in that job, which readers skip, and are cleared away afterwards. A partition is written by as many tasks as its
+size asks for.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +20,15 @@ from tallyforge.plans import values as V
 from tallyforge.plans.compiler import Compiler, NotAllowed, Scope, UnknownColumn, scope_of
 from tallyforge.plans.parser import parse_expression
 from tallyforge.plans.values import Val
-from tallyforge.session import checkpointed
+from tallyforge.session import checkpoint_bytes, checkpointed, release
 from tallyforge.types import Attribute, BadSchema, TableSpec
 
 PART, ROWNUM = "_part", "_rownum"
+#: A bucket is to hold about as many bytes; with more than four times as many in the mean, their number grows.
+BUCKET_BYTES = 1 << 30
+MOST_BUCKETS = 1 << 16
+#: Touched partitions are named in a filter up to so many, beyond that joined.
+MOST_NAMED = 1000
 
 
 class Rejected(ValueError):
@@ -117,7 +124,8 @@ class TableStore:
         self._specs.pop(spec.name, None)
 
     def truncate(self, table: str) -> None:
-        self._remove(self.spec(table).name, "data")
+        spec = self.spec(table)
+        self._remove(spec.name, spec.folder)
 
     # reading
 
@@ -126,9 +134,12 @@ class TableStore:
 
     def _raw(self, spec: TableSpec) -> DataFrame:
         schema = self._stored(spec)
-        if not self._exists(spec.name, "data"):
+        if not self._exists(spec.name, spec.folder):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{spec.name}/data")
+        return self.spark.read.schema(schema).parquet(self._data(spec)).where(F.col(ROWNUM).isNotNull())
+
+    def _data(self, spec: TableSpec) -> str:
+        return f"{self.root}/{spec.name}/{spec.folder}"
 
     def read(self, table: str, start: object = None, end: object = None, internal: bool = False) -> DataFrame:
         """The table's rows; of a partitioned one only those of the partitions from start to end."""
@@ -149,7 +160,34 @@ class TableStore:
     def _part(self, spec: TableSpec) -> Column:
         if spec.quantum:
             return F.coalesce(self._part_of(spec, F.col(f"`{spec.quantum_field}`").cast("timestamp")), F.lit("none"))
-        return F.lpad(F.pmod(F.xxhash64(*(F.col(f"`{k}`").cast("string") for k in spec.key)), F.lit(spec.buckets)).cast("string"), 5, "0")
+        return self._bucket(spec, *(F.col(f"`{k}`") for k in spec.key))
+
+    @staticmethod
+    def _bucket(spec: TableSpec, *key: Column) -> Column:
+        return F.lpad(F.pmod(F.xxhash64(*(k.cast("string") for k in key)), F.lit(spec.buckets)).cast("string"), 5, "0")
+
+    def rebucket(self, table: str, buckets: int) -> None:
+        """Spread a table's rows over another number of buckets. They are written beside the old ones; the specification, which
+        names the folder, is what changes over."""
+        spec = self.spec(table)
+        if spec.quantum or buckets == spec.buckets:
+            return
+        new = replace(spec, buckets=buckets, folder=f"data-{buckets}")
+        self._remove(new.name, new.folder)
+        if self._exists(spec.name, spec.folder):
+            self._write(new, self._raw(spec).withColumn(PART, self._part(new)))
+        self._save(new)
+        self._remove(spec.name, spec.folder)
+
+    def _grown(self, spec: TableSpec, size: int) -> int:
+        """The number of buckets for so many bytes."""
+        if spec.quantum or size <= 4 * BUCKET_BYTES * spec.buckets:
+            return spec.buckets
+        return min(MOST_BUCKETS, max(spec.buckets, 1 << (size // BUCKET_BYTES).bit_length()))
+
+    def _size(self, spec: TableSpec) -> int:
+        p = self._path(spec.name, spec.folder)
+        return self._fs(p).getContentSummary(p).getLength() if self._fs(p).exists(p) else 0
 
     def partition_filter(self, table: str, low: Column | None, high: Column | None) -> Column:
         """A predicate on partitions that follows from bounds of the time field."""
@@ -171,13 +209,13 @@ class TableStore:
             raise NotAllowed(f"{table} has no partitions by time")
         gone = [p for p in self._part_names(spec) if p != "none" and p < before[: len(p)]]
         for p in gone:
-            self._remove(spec.name, "data", f"{PART}={p}")
+            self._remove(spec.name, spec.folder, f"{PART}={p}")
         return gone
 
     def _part_names(self, spec: TableSpec) -> list[str]:
         from urllib.parse import unquote
 
-        return [unquote(x.split("=", 1)[1]) for x in self._children(spec.name, "data") if x.startswith(f"{PART}=")]
+        return [unquote(x.split("=", 1)[1]) for x in self._children(spec.name, spec.folder) if x.startswith(f"{PART}=")]
 
     # writing
 
@@ -219,6 +257,9 @@ class TableStore:
         return map_column(V.literal(a.default), a)
 
     def _first_row(self, spec: TableSpec) -> int:
+        """The next free row number, from the file it is kept in; tables without one are looked through once."""
+        if self._exists(spec.name, "next_row"):
+            return int(self._read_text(spec.name, "next_row"))
         return int(self._raw(spec).agg(F.max(ROWNUM)).first()[0] or 0) + 1
 
     def _with_parents(self, spec: TableSpec, rows: DataFrame, strict: bool) -> DataFrame:
@@ -227,7 +268,13 @@ class TableStore:
             parent, _, column = a.foreign_key.partition(".")
             if not parent:
                 continue
-            keys = self.read(parent).select(F.col(f"`{column or self.spec(parent).primary_key[0]}`").cast("string").alias("_key"))
+            owner = self.spec(parent)
+            column = column or owner.primary_key[0]
+            known = self._raw(owner) if not owner.view_of else self.read(parent)
+            if owner.key == (column,) and not owner.quantum and not owner.view_of:  # only buckets that the keys fall into
+                named = [r[0] for r in rows.where(F.col(f"`{a.name}`").isNotNull()).select(self._bucket(owner, F.col(f"`{a.name}`"))).distinct().collect()]
+                known = self._among(known, named)
+            keys = known.select(F.col(f"`{column}`").cast("string").alias("_key"))
             there = F.col(f"`{a.name}`").cast("string") == F.col("_key")
             if strict:
                 lost = rows.where(F.col(f"`{a.name}`").isNotNull()).join(keys, there, "left_anti").select(a.name).take(1)
@@ -250,13 +297,19 @@ class TableStore:
         last = fresh.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in fresh.columns if c not in keys)), "_order").alias("_v"))
         names = [a.name for a in spec.attributes]
         incoming = last.select(*(F.col(f"`{n}`") if n in keys else F.col(f"_v.`{n}`").alias(n) for n in names), F.col("_v._order").alias("_order"))
-        incoming = checkpointed(self._with_parents(spec, incoming.withColumn(PART, self._part(spec)), strict))
-        touched = [r[0] for r in incoming.select(PART).distinct().collect()]  # at most the table's partitions
+        kept = checkpointed(incoming)
+        incoming = self._with_parents(spec, kept, strict)
+        self.rebucket(spec.name, self._grown(spec, self._size(spec) + checkpoint_bytes(kept)))
+        spec = self.spec(table)
+        incoming = incoming.withColumn(PART, self._part(spec))
+        seen = incoming.groupBy(PART).agg(F.count(F.lit(1)).alias("n"), F.max("_order").alias("last")).collect()  # at most the table's partitions
+        touched = [r[0] for r in seen]
         if not touched:
+            release(kept)
             return 0
-        old = self._raw(spec).where(F.col(PART).isin(touched))
-        # row numbers: a running count over the insert order, partition sizes first
+        old = self._among(self._raw(spec), touched)
         base = self._first_row(spec)
+        self._write_text(str(base + max(r["last"] for r in seen) + 1), spec.name, "next_row")
         o, n = old.alias("o"), incoming.alias("n")
         on = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]
         both = n.join(o, [F.col(f"o.{PART}") == F.col(f"n.{PART}"), *on], "full")
@@ -273,19 +326,29 @@ class TableStore:
         merged = both.select(*cols, F.col(f"o.{ROWNUM}").alias(ROWNUM), F.coalesce(F.col(f"n.{PART}"), F.col(f"o.{PART}")).alias(PART), F.col("n._order").alias("_order"))
         merged = merged.withColumn(ROWNUM, F.coalesce(F.col(ROWNUM), F.lit(base) + F.col("_order"))).drop("_order")
         self._replace(spec, merged, touched)
-        return incoming.count()
+        release(kept)
+        return sum(r["n"] for r in seen)
+
+    def _among(self, df: DataFrame, parts: list[str]) -> DataFrame:
+        """Rows of these partitions."""
+        if len(parts) <= MOST_NAMED:
+            return df.where(F.col(PART).isin(parts))
+        return df.join(self.spark.createDataFrame([(p,) for p in parts], f"{PART} string"), PART, "left_semi")
 
     def _replace(self, spec: TableSpec, rows: DataFrame, touched: list[str]) -> None:
         """Put rows in the place of the touched partitions."""
         kept = checkpointed(rows)
         left = {r[0] for r in kept.select(PART).distinct().collect()}
-        if left:
-            (
-                kept.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.root}/{spec.name}/data")
-            )
-        for p in touched:
-            if p not in left:
-                self._remove(spec.name, "data", f"{PART}={p}")
+        emptied = [(p,) for p in touched if p not in left]
+        marks = self.spark.createDataFrame(emptied, f"{PART} string")
+        self._write(spec, kept.unionByName(marks, allowMissingColumns=True) if emptied else kept)
+        release(kept)
+        for (p,) in emptied:
+            self._remove(spec.name, spec.folder, f"{PART}={p}")
+
+    def _write(self, spec: TableSpec, rows: DataFrame) -> None:
+        """One job. Large partitions are split among tasks, small ones share one (adaptive execution)."""
+        rows.hint("rebalance", PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self._data(spec))
 
     def _matching(self, spec: TableSpec, df: DataFrame, predicate: Column) -> list[str]:
         return [r[0] for r in df.where(predicate).select(PART).distinct().collect()]
@@ -306,7 +369,7 @@ class TableStore:
         touched = self._matching(spec, df, hit)
         if not touched:
             return 0
-        old = df.where(F.col(PART).isin(touched)).withColumn("_hit", hit)
+        old = self._among(df, touched).withColumn("_hit", hit)
         cols = []
         by = {k.lower(): v for k, v in values.items()}
         for a in spec.attributes:
@@ -334,7 +397,7 @@ class TableStore:
         touched = self._matching(spec, df, hit)
         if not touched:
             return 0
-        old = df.where(F.col(PART).isin(touched))
+        old = self._among(df, touched)
         n = old.where(hit).count()
         self._replace(spec, old.where(~hit), touched)
         return n
@@ -365,7 +428,7 @@ class TableStore:
         """Forget what is known of specifications and files, after others changed them."""
         self._specs.clear()
         for t in self.tables():
-            self.spark.catalog.refreshByPath(f"{self.root}/{t}/data")
+            self.spark.catalog.refreshByPath(self._data(self.spec(t)))
 
     def orphans(self, table: str) -> dict[str, DataFrame]:
         """By foreign key column, the rows whose parent is missing."""

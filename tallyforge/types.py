@@ -66,7 +66,8 @@ class TableSpec:
     selector: str = ""
     default_predicate: str = ""
     view_of: str = ""
-    buckets: int = 8
+    buckets: int = 8  # of a table without partitions by time; grows with the table
+    folder: str = "data"  # of the table's own, that its rows are in
 
     def attribute(self, name: str) -> Attribute | None:
         return next((a for a in self.attributes if a.name.lower() == name.lower()), None)
