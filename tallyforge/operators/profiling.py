@@ -1,14 +1,16 @@
 """Quality profiles of columns, load by load, from the character-class masks of their values.
 
-Values are counted per load and column once, map-side first; everything else - missing and malformed shares, the most
-frequent value, means, dominant and rare masks, divergence of mask distributions - is worked out on those counts.
+Values are counted per load and column once, map-side first, and generalised to masks; everything else is worked out on the
+counts of masks. Over all loads the dominant masks of a column are mined, which together cover most of its rows; the others
+are rare, and their rows violations of the column's pattern. What a rule calls malformed is decided once for every mask.
+Loads are compared by how their masks are distributed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,16 +45,20 @@ class Rule:
     low: float | None = None
     high: float | None = None
 
-    def well_formed(self, value: Column, masked: Column) -> Column:
+    def fitting(self, masked: Column) -> Column:
         ok = F.lit(True)
         for p in self.fits:
             ok &= masked.rlike(p)
         for p in self.breaks:
             ok &= ~masked.rlike(p)
-        if self.low is not None:
-            ok &= F.coalesce(value.try_cast("double").between(self.low, self.high), F.lit(False))
         return ok
 
+    def within(self, value: Column) -> Column:
+        return F.lit(True) if self.low is None else F.coalesce(value.try_cast("double").between(self.low, self.high), F.lit(False))
+
+    def well_formed(self, value: Column, masked: Column) -> Column:
+        return self.fitting(masked) & self.within(value)
+
 
 LAST_NAME = Rule("last_name", (r"\A[Aa]",), (r"[^Aa '’\-]", r"[ '’\-]{2}", r"[ '’\-]\z"))
 ZIP = Rule("zip", (r"\A99999(-9999)?\z",))
@@ -86,10 +92,52 @@ def placed(df: DataFrame, columns: list[str], numbers: tuple[str, ...] = ()) ->
     return F.when(~name.isin(texts) | is_number, F.struct(*keys, value.alias("value")))
 
 
-def load_profile(df: DataFrame, rules: tuple[Rule, ...], *, columns: list[str] | None = None, load: str = "load_id") -> DataFrame:
-    """One row per load and column, of the judged ones if none are named: rows, missing, malformed, distinct_values (exact),
-    top_value_rows, the shares of these (missing of all rows, the others of the rest), mean, of well-formed numbers, and
-    least and greatest, the range of the values that aren't missing.
+def mask_counts(df: DataFrame, columns: list[str], load: str, rules: tuple[Rule, ...] = ()) -> DataFrame:
+    """load, column_name, mask (null for missing values), and of the values of each: rows, distinct_values, top_value_rows, least and
+    greatest; of those in their rule's range within_rows, and if it has one their number of rows and total."""
+    value, name = F.col("value"), F.col("column_name")
+    counts = value_counts(df, columns, load)
+    within, number = F.lit(True), F.lit(None).cast("double")
+    for r in rules:
+        within = F.when(name == r.column, r.within(value)).otherwise(within)
+        if r.low is not None:
+            number = F.when(name == r.column, value.try_cast("double")).otherwise(number)
+    place = placed(df, columns, tuple(r.column for r in rules if r.low is not None))
+    made = counts.select("load", "column_name", F.when(~is_missing(value), mask(value)).alias("mask"), "n", within.alias("ok"), number.alias("x"), place.alias("place"))
+    here, ok = F.col("mask").isNotNull(), F.col("ok")
+    return made.groupBy("load", "column_name", "mask").agg(
+        F.sum("n").alias("rows"),
+        F.count("mask").alias("distinct_values"),
+        F.max(F.when(here, F.col("n"))).alias("top_value_rows"),
+        F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("within_rows"),
+        F.sum(F.when(ok & F.col("x").isNotNull(), F.col("n"))).alias("numbers"),
+        F.sum(F.when(ok, F.col("n") * F.col("x"))).alias("total"),
+        F.min(F.when(here, F.col("place"))).alias("least"),
+        F.max(F.when(here, F.col("place"))).alias("greatest"),
+    )
+
+
+def mined_masks(masks: DataFrame, *, cover: float = 0.98) -> DataFrame:
+    """Over all loads, of each column's masks: column_name, mask, rows, share (of the rows that hold a value), dominant.
+
+    Dominant are the most frequent masks that together cover at least ``cover`` of the column's rows that hold a value, and
+    those as frequent as the last of them. How far down that goes is read from how many masks have how many rows, a table that
+    is small however many masks there are.
+    """
+    own = masks.where("mask is not null").groupBy("column_name", "mask").agg(F.sum("rows").alias("rows"))
+    tally = own.groupBy("column_name", "rows").agg((F.sum("rows")).alias("held"))
+    down = Window.partitionBy("column_name").orderBy(F.desc("rows"))
+    whole = F.sum("held").over(Window.partitionBy("column_name"))
+    above = F.sum("held").over(down) - F.col("held")
+    least = tally.select("column_name", "rows", whole.alias("whole"), above.alias("above")).where(F.col("above") < cover * F.col("whole"))
+    least = least.groupBy("column_name").agg(F.min("rows").alias("least"), F.max("whole").alias("whole"))
+    return own.join(least, "column_name").select("column_name", "mask", "rows", (F.col("rows") / F.col("whole")).alias("share"), (F.col("rows") >= F.col("least")).alias("dominant"))
+
+
+def load_profile(df: DataFrame, rules: tuple[Rule, ...], *, columns: list[str] | None = None, load: str = "load_id", cover: float = 0.98) -> DataFrame:
+    """One row per load and column, of the judged ones if none are named: rows, missing, malformed, rare (whose mask is none of the
+    dominant ones that mined_masks finds), distinct_values (exact), top_value_rows, the shares of these (missing of all rows,
+    the others of the rest), mean, of well-formed numbers, and least and greatest, the range of the values that aren't missing.
 
     A range has the order of the column's type and is given as text; of a text column judged by numbers it is that of all
     its numbers, well-formed or not. Shares of the rest, the mean and the range are null where there is no rest, malformed
@@ -97,34 +145,32 @@ def load_profile(df: DataFrame, rules: tuple[Rule, ...], *, columns: list[str] |
     """
     judges = [r.column for r in rules]
     columns = judges if columns is None else columns
-    counts = value_counts(df, columns, load)
-    masked = F.col("mask")
-    fine, number = F.lit(None).cast("boolean"), F.lit(None).cast("double")
+    masks = mask_counts(df, columns, load, rules)
+    mined = mined_masks(masks, cover=cover)
+    fits = F.lit(None).cast("boolean")
     for r in rules:
-        own = F.col("column_name") == r.column
-        fine = F.when(own, r.well_formed(F.col("value"), masked)).otherwise(fine)
-        if r.low is not None:
-            number = F.when(own, F.col("value").try_cast("double")).otherwise(number)
-    own_mask = F.when(F.col("column_name").isin(judges), mask(F.col("value"))) if set(columns) - set(judges) else mask(F.col("value"))
-    place = placed(df, columns, tuple(r.column for r in rules if r.low is not None))
-    judged = counts.withColumn("mask", own_mask).select("load", "column_name", "n", is_missing(F.col("value")).alias("missing"), fine.alias("fine"), number.alias("number"), place.alias("place"))
-    here, good = ~F.col("missing"), ~F.col("missing") & F.col("fine")
+        fits = F.when(F.col("column_name") == r.column, r.fitting(F.col("mask"))).otherwise(fits)
+    verdicts = mined.select("column_name", "mask", "dominant", fits.alias("fits"))
+    judged = masks.join(verdicts, ["column_name", "mask"], "left")
+    here, n = F.col("mask").isNotNull(), F.col("rows")
     sums = judged.groupBy("load", "column_name").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("missing"),
-        F.when(F.col("column_name").isin(judges), F.coalesce(F.sum(F.when(here & ~F.col("fine"), F.col("n"))), F.lit(0))).alias("malformed"),
-        F.count(F.when(here, 1)).alias("distinct_values"),
-        F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias("top_value_rows"),
-        F.sum(F.when(good, F.col("n") * F.col("number"))).alias("total"),
-        F.sum(F.when(good & F.col("number").isNotNull(), F.col("n"))).alias("numbers"),
-        F.min(F.when(here, F.col("place")))["value"].alias("least"),
-        F.max(F.when(here, F.col("place")))["value"].alias("greatest"),
+        F.sum("rows").alias("rows"),
+        F.coalesce(F.sum(F.when(~here, n)), F.lit(0)).alias("missing"),
+        F.when(F.col("column_name").isin(judges), F.coalesce(F.sum(F.when(here, n - F.when(F.col("fits"), F.col("within_rows")).otherwise(0))), F.lit(0))).alias("malformed"),
+        F.coalesce(F.sum(F.when(~F.col("dominant"), n)), F.lit(0)).alias("rare"),
+        F.sum("distinct_values").alias("distinct_values"),
+        F.coalesce(F.max("top_value_rows"), F.lit(0)).alias("top_value_rows"),
+        F.sum(F.when(F.col("fits"), F.col("total"))).alias("total"),
+        F.sum(F.when(F.col("fits"), F.col("numbers"))).alias("numbers"),
+        F.min("least")["value"].alias("least"),
+        F.max("greatest")["value"].alias("greatest"),
     )
     rest = F.col("rows") - F.col("missing")
     return sums.select(
-        F.col("load").alias(load), "column_name", "rows", "missing", "malformed", "distinct_values", "top_value_rows",
+        F.col("load").alias(load), "column_name", "rows", "missing", "malformed", "rare", "distinct_values", "top_value_rows",
         (F.col("missing") / F.col("rows")).alias("missing_share"),
         F.when(rest > 0, F.col("malformed") / rest).alias("malformed_share"),
+        F.when(rest > 0, F.col("rare") / rest).alias("rare_share"),
         F.when(rest > 0, F.col("top_value_rows") / rest).alias("top_share"),
         F.when(F.col("numbers") > 0, F.col("total") / F.col("numbers")).alias("mean"),
         "least", "greatest",
@@ -151,30 +197,37 @@ def mask_profile(df: DataFrame, columns: list[str], *, load: str = "load_id") ->
 
     Values are counted first, so each distinct one is masked once. Masks are as long as their values.
     """
-    value = F.col("value")
-    counts = value_counts(df, columns, load).withColumn("mask", F.when(~is_missing(value), mask(value)))
-    seen = F.when(F.col("mask").isNotNull(), placed(df, columns))
-    out = counts.groupBy("load", "column_name", "mask").agg(F.sum("n").alias("rows"), F.count("mask").alias("distinct_values"), F.min(seen)["value"].alias("least"), F.max(seen)["value"].alias("greatest"))
+    out = mask_counts(df, columns, load)
     total = df.groupBy(F.col(f"`{load}`").cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_all"))
     joined = out.join(total, F.col("load").eqNullSafe(F.col("_l")))
-    return joined.select(F.col("load").alias(load), "column_name", "mask", shape(F.col("mask")).alias("pattern"), "rows", "distinct_values", "least", "greatest", (F.col("rows") / F.col("_all")).alias("share"))
+    return joined.select(F.col("load").alias(load), "column_name", "mask", shape(F.col("mask")).alias("pattern"), "rows", "distinct_values", F.col("least.value").alias("least"), F.col("greatest.value").alias("greatest"), (F.col("rows") / F.col("_all")).alias("share"))
 
 
-def rare_patterns(masks: DataFrame, *, dominant: float = 0.01) -> DataFrame:
-    """Masks that make up less than ``dominant`` of a column's rows that hold a value: column_name, mask, pattern, rows, share."""
-    own = masks.where("mask is not null").groupBy("column_name", "mask").agg(F.sum("rows").alias("rows"))
-    total = own.groupBy("column_name").agg(F.sum("rows").alias("_all"))
-    return own.join(total, "column_name").select("column_name", "mask", shape(F.col("mask")).alias("pattern"), "rows", (F.col("rows") / F.col("_all")).alias("share")).where(F.col("share") < dominant)
+def rare_patterns(masks: DataFrame, *, cover: float = 0.98) -> DataFrame:
+    """The masks that are none of the dominant ones of mined_masks: column_name, mask, pattern, rows, share."""
+    return mined_masks(masks, cover=cover).where("not dominant").select("column_name", "mask", shape(F.col("mask")).alias("pattern"), "rows", "share")
+
+
+def _divergence(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Jensen-Shannon divergence of p from q, shares of masks in rows that hold all masks of p, q being null where it has none."""
+    p, q = F.col("p"), F.coalesce(F.col("q"), F.lit(0.0))
+    m = (p + q) / 2
+    # masks that only q has add q/2 each: one less the q that is here
+    parts = pairs.groupBy(*keys).agg(F.sum(p * F.log2(p / m) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)).alias("_own"), F.sum(q).alias("_had"))
+    return parts.select(*keys, F.greatest(F.lit(0.0), (F.col("_own") + 1 - F.col("_had")) / 2).alias(name))
 
 
 def mask_divergence(masks: DataFrame, *, load: str = "load_id") -> DataFrame:
-    """Jensen-Shannon divergence, in bits, of each load's masks of a column from those of all loads: load, column_name,
-    divergence, from 0 (the same) to 1. Missing values are a mask of their own."""
-    p = masks.select(load, "column_name", F.coalesce("mask", F.lit("")).alias("mask"), "rows", F.col("share").alias("p"))
+    """How each load's masks of a column differ: load, column_name, divergence (from those of all loads) and from_previous (from
+    those of the load before, in the order of their names; null for the first). Both are Jensen-Shannon divergences in bits, from 0
+    (the same) to 1. Missing values are a mask of their own."""
+    p = masks.select(F.col(load).alias("load"), "column_name", F.coalesce("mask", F.lit("")).alias("mask"), "rows", F.col("share").alias("p"))
     whole = p.groupBy("column_name", "mask").agg(F.sum("rows").alias("_n"))
     q = whole.join(whole.groupBy("column_name").agg(F.sum("_n").alias("_all")), "column_name").select("column_name", "mask", (F.col("_n") / F.col("_all")).alias("q"))
-    j = p.join(q, ["column_name", "mask"])
-    m = (F.col("p") + F.col("q")) / 2
-    # masks of the whole that a load lacks add q/2 each: one less the q it has
-    parts = j.groupBy(load, "column_name").agg(F.sum(F.col("p") * F.log2(F.col("p") / m) + F.col("q") * F.log2(F.col("q") / m)).alias("_own"), F.sum("q").alias("_had"))
-    return parts.select(load, "column_name", F.greatest(F.lit(0.0), (F.col("_own") + 1 - F.col("_had")) / 2).alias("divergence"))
+    from_all = _divergence(p.join(q, ["column_name", "mask"]), ["load", "column_name"], "divergence")
+    names = p.select("load").distinct()
+    before = names.withColumn("previous", F.lag("load").over(Window.orderBy("load")))  # a row per load
+    previous = p.select(F.col("load").alias("previous"), "column_name", "mask", F.col("p").alias("q"))
+    pairs = p.join(before, "load").join(previous, ["previous", "column_name", "mask"], "left").where("previous is not null")
+    from_previous = _divergence(pairs, ["load", "column_name"], "from_previous")
+    return from_all.alias("a").join(from_previous.alias("b"), F.expr("a.load <=> b.load and a.column_name = b.column_name"), "left").select(F.col("a.load").alias(load), "a.column_name", "divergence", "from_previous")

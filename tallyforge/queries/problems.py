@@ -76,17 +76,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return profiling.departing_loads(profiling.load_profile(table(spark, d, "customers_qa"), profiling.CUSTOMER_RULES))
 
 
-def p5_masks(spark: SparkSession, d: str) -> DataFrame:
+def _masks(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customers_qa")
     return profiling.mask_profile(customers, [c for c in customers.columns if c not in ("row_id", "load_id")])
 
 
+def p5_masks(spark: SparkSession, d: str) -> DataFrame:
+    return _masks(spark, d).select("load_id", "column_name", "mask", "rows", "distinct_values")
+
+
+def p5_mask_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return _masks(spark, d)
+
+
 def p5_rare_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return profiling.rare_patterns(p5_masks(spark, d))
+    return profiling.rare_patterns(_masks(spark, d)).drop("pattern")
 
 
 def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
-    return profiling.mask_divergence(p5_masks(spark, d))
+    return profiling.mask_divergence(_masks(spark, d)).withColumns({c: F.round(c, 6) for c in ("divergence", "from_previous")})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +118,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_profile": p5_profile,
     "p5_masks": p5_masks,
+    "p5_mask_ranges": p5_mask_ranges,
     "p5_rare_patterns": p5_rare_patterns,
     "p5_divergence": p5_divergence,
     "p6_found": p6_found,

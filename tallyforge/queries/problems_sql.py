@@ -57,7 +57,29 @@ f AS (SELECT load_id, column_name, missing / rows AS a, malformed / nullif(rows
 m AS (SELECT column_name, median(a) AS ma, median(b) AS mb, median(c) AS mc, median(d) AS md FROM f GROUP BY ALL)
 """
 
+# masks of every column, load by load
+_TEXTS = {"isActive": "isActive::VARCHAR", "isLegalAge": "isLegalAge::VARCHAR", "age": "age::VARCHAR", "numFamilyMembers": "numFamilyMembers::VARCHAR", "rownum": "rownum::VARCHAR", "feed_id": "feed_id::VARCHAR", "loaded_at": r"regexp_replace(strftime(loaded_at, '%Y-%m-%d %H:%M:%S.%f'), '\.?0+$', '')"}
+_COLUMNS = ("cust_id", "first_name", "last_name", "address", "city", "state", "zip", "createdAtTimestamp", "timestamp_micro", "timestamp_millis", "hashedCustId", "phone", "phoneType", "isActive", "birthdate", "isLegalAge", "age", "height", "numFamilyMembers", "rownum", "feed_id", "loaded_at")
+_MASKS = rf"""
+WITH v AS ({" UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, trim({_TEXTS.get(c, c)}, '{WHITE_SPACE}') AS v FROM customers_qa" for c in _COLUMNS)}),
+m AS (SELECT load_id, column_name, CASE WHEN v = '' OR lower(v) IN ({_NO_VALUE}) OR regexp_full_match(v, '{MARKS}+') THEN NULL
+    ELSE regexp_replace(regexp_replace(regexp_replace(v, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]\p{{M}}*', 'a', 'g'), '\p{{Lu}}\p{{M}}*', 'A', 'g'), '[0-9]', '9', 'g') END AS mask, v FROM v),
+k AS (SELECT load_id, column_name, mask, count(*) AS rows, count(DISTINCT CASE WHEN mask IS NOT NULL THEN v END) AS distinct_values FROM m GROUP BY ALL),
+s AS (SELECT load_id, column_name, coalesce(mask, '') AS mask, rows, rows / sum(rows) OVER (PARTITION BY load_id, column_name) AS p FROM k),
+o AS (SELECT column_name, mask, sum(rows)::BIGINT AS rows FROM k WHERE mask IS NOT NULL GROUP BY ALL)
+"""
+_JS = "greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)"
+
 SQL = {
+    "p5_masks": _MASKS + "SELECT load_id, column_name, mask, rows, distinct_values FROM k",
+    "p5_rare_patterns": _MASKS + """, r AS (SELECT *, sum(rows) OVER (PARTITION BY column_name ORDER BY rows DESC) - sum(rows) OVER (PARTITION BY column_name, rows) AS above, sum(rows) OVER (PARTITION BY column_name) AS whole FROM o),
+t AS (SELECT column_name, min(rows) AS least FROM r WHERE above < 0.98 * whole GROUP BY ALL)
+SELECT column_name, mask, rows, rows / whole AS share FROM r JOIN t USING (column_name) WHERE rows < least""",
+    "p5_divergence": _MASKS + f""", w AS (SELECT column_name, mask, sum(rows) AS n FROM s GROUP BY ALL), q AS (SELECT column_name, mask, n / sum(n) OVER (PARTITION BY column_name) AS q FROM w),
+loads AS (SELECT load_id, lag(load_id) OVER (ORDER BY load_id) AS previous FROM (SELECT DISTINCT load_id FROM s)), cells AS (SELECT DISTINCT load_id, previous, column_name FROM s JOIN loads USING (load_id)),
+a AS (SELECT load_id, column_name, {_JS} AS divergence FROM (SELECT c.load_id, c.column_name, coalesce(p, 0) AS p, q FROM cells c JOIN q USING (column_name) LEFT JOIN s ON s.load_id = c.load_id AND s.column_name = c.column_name AND s.mask = q.mask) GROUP BY ALL),
+b AS (SELECT load_id, column_name, {_JS} AS from_previous FROM (SELECT load_id, column_name, mask, sum(p) AS p, sum(q) AS q FROM (SELECT load_id, column_name, mask, p, 0 AS q FROM s UNION ALL SELECT c.load_id, s.column_name, s.mask, 0, s.p FROM cells c JOIN s ON s.load_id = c.previous AND s.column_name = c.column_name) GROUP BY ALL) WHERE load_id IN (SELECT load_id FROM loads WHERE previous IS NOT NULL) GROUP BY ALL)
+SELECT load_id, column_name, round(divergence, 6) AS divergence, round(from_previous, 6) AS from_previous FROM a LEFT JOIN b USING (load_id, column_name)""",
     "p1_found": _ORPHANS + "SELECT row_id, kind FROM j WHERE kind IS NOT NULL",
     "p1_counts": _ORPHANS + """
 SELECT 'orders_qa' AS child_table, strftime(t, '%Y-%m') AS month, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY ALL""",
