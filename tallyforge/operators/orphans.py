@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.columnar import WHITE_SPACE, fixed_bytes
-from tallyforge.session import arrow_map, shuffle_width
+from tallyforge.session import arrow_map, checkpointed, shuffle_width
 
 KEY_BYTES = 64
 #: Rows sampled per range to place the boundaries. They decide how even the ranges are, never the result.
@@ -80,11 +80,32 @@ class Bounds:
         return np.where(same > 0, low + 1 + tie % np.maximum(same, 1), low).astype(np.int32)
 
 
-def _sample_bounds(rows: DataFrame, total: int, ranges: int) -> Bounds:
-    want = ranges * SAMPLED_PER_RANGE
-    if total > want:
-        rows = rows.sample(fraction=min(1.0, 1.2 * want / total), seed=11)
-    t = rows.limit(4 * want).toArrow()
+def _estimated_rows(df: DataFrame) -> int:
+    """A guess from the optimizer's statistics, at about 16 bytes a row."""
+    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // 16)
+
+
+def _ranges(spark: SparkSession, rows: int) -> int:
+    return min(MAX_RANGES, max(shuffle_width(spark), -(-rows // ROWS_PER_RANGE)))
+
+
+def _sampled(rows: DataFrame, total: int | None = None) -> tuple[pa.Table, int, float]:
+    """A sample of (k, t), the number of all rows, and the share that was drawn: in one reading, unless the guess at the number of
+    rows, which decides on the share, was far off."""
+    spark, guess = rows.sparkSession, total or _estimated_rows(rows)
+    want = _ranges(spark, guess) * SAMPLED_PER_RANGE
+    share, most = min(1.0, 1.2 * want / guess), 3 * want
+    seen = Observation()
+    t = rows.observe(seen, F.count(F.lit(1)).alias("n")).sample(fraction=share, seed=11).limit(most + 1).toArrow()
+    if total is not None or (len(t) <= most and (share == 1.0 or len(t) >= want // 3)):
+        return t.slice(0, most), total if total is not None else seen.get["n"], share
+    return _sampled(rows, max(1, rows.count()))
+
+
+def _sample_bounds(parts: list[tuple[pa.Table, int, float]], ranges: int) -> Bounds:
+    """Boundaries from samples of several tables, each thinned to the share of the sparsest."""
+    least, rng = min(share for _, _, share in parts), np.random.default_rng(11)
+    t = pa.concat_tables([x if share <= least else x.take(pa.array(np.flatnonzero(rng.random(len(x)) < least / share))) for x, _, share in parts])
     keys, times = fixed_bytes(t["k"], KEY_BYTES), t["t"].to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.lexsort((times, keys))
     picks = order[np.unique((np.arange(1, ranges) * len(order)) // ranges)] if len(order) else order
@@ -123,15 +144,22 @@ def _edge_states(parents: DataFrame, bounds: Bounds) -> dict[str, np.ndarray]:
         .toArrow()
         .to_pylist()
     )
-    by: dict[int, dict[int, dict]] = {}
+    by: dict[int, list[tuple[int, dict]]] = {}
     for r in got:
-        by.setdefault(names[r["k"]], {})[r["pid"]] = r
+        by.setdefault(names[r["k"]], []).append((r["pid"], r))
+    # ranges of one key follow on each other, so the last events are carried along
+    key, rows, i, any_load, last = -1, [], 0, False, {"load": NEVER, "gone": NEVER}
     for r in range(1, n):
-        rows = by.get(int(bounds.at[r - 1]), {})
-        before = [x for p, x in rows.items() if p < r]
-        load[r] = max([NEVER, *(x["load"] for x in before if x["load"] is not None)])
-        gone[r] = max([NEVER, *(x["gone"] for x in before if x["gone"] is not None)])
-        exists[r] = any(x["any"] for x in rows.values())
+        if bounds.at[r - 1] != key:
+            key, i, last = bounds.at[r - 1], 0, {"load": NEVER, "gone": NEVER}
+            rows = sorted(by.get(int(key), []), key=lambda x: x[0])
+            any_load = any(x["any"] for _, x in rows)
+        while i < len(rows) and rows[i][0] < r:
+            for kind in last:
+                if rows[i][1][kind] is not None:
+                    last[kind] = max(last[kind], rows[i][1][kind])
+            i += 1
+        load[r], gone[r], exists[r] = last["load"], last["gone"], any_load
     return {"load": load, "gone": gone, "exists": exists}
 
 
@@ -231,7 +259,8 @@ def orphan_references(
     without a time exists but had come by no time. Repeated rows are judged one by one; ties of a deletion and an arrival
     count for the arrival. Empty tables are allowed. Other columns are not read, so their names can't clash.
 
-    One shuffle of (key, time, id); parents are reduced to their distinct (key, time) before it.
+    One shuffle of (key, time, id); parents are reduced to their distinct (key, time) before it, and kept so in the checkpoint
+    folder. Parents are read once, references twice: for a sample, which also counts them, and to be judged.
     """
     spark = refs.sparkSession
 
@@ -242,13 +271,11 @@ def orphan_references(
     if deletions is not None:
         gone = deletions.where(F.col(f"`{deletion_time}`").isNotNull())
         owners = owners.unionByName(side(gone, deletion_key, deletion_time, DELETE, F.lit(None).cast("bigint")))
-    owners = owners.groupBy("tag", "k", "t").agg(F.lit(None).cast("bigint").alias("id"))
+    owners = checkpointed(owners.groupBy("tag", "k", "t").agg(F.lit(None).cast("bigint").alias("id")))
     children = side(refs, ref_key, ref_time, REFERENCE, F.col(f"`{ref_id}`").cast("bigint"))
 
-    total = parents.count() + refs.count()
-    ranges = min(MAX_RANGES, max(shuffle_width(spark), -(-total // ROWS_PER_RANGE)))
-    raw = side(parents, parent_key, parent_time, LOAD, F.lit(None).cast("bigint")).unionByName(children).select("k", "t")
-    bounds = _sample_bounds(raw, total, ranges)
+    parts = [_sampled(owners.select("k", "t"), owners.count()), _sampled(children.select("k", "t"))]
+    bounds = _sample_bounds(parts, _ranges(spark, sum(n for _, n, _ in parts)))
     shared = spark.sparkContext.broadcast(bounds)  # at most MAX_RANGES boundaries
     schema = "pid int, tag tinyint, k string, t bigint, id bigint"
 
