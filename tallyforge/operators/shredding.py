@@ -1,9 +1,10 @@
 """Deeply nested JSON records taken apart into flat tables that keep their parents.
 
-A schema of nodes names the paths wanted. Every record is shredded into columns, one per leaf path, each entry with a
-repetition level (at which repeated ancestor it continues) and a definition level (how much of its path is there). The
-table of a repeated ancestor is then rebuilt from the level sequences of its leaves alone: ordinals are running counts of
-repetition levels, missing values are entries whose definition level stays below the leaf's.
+A schema of nodes names the paths wanted. A batch of records is shredded into columns, node after node for all its records at
+once, one column per leaf path, each entry with a repetition level (at which repeated ancestor it continues) and a
+definition level (how much of its path is there). The table of a repeated ancestor is then rebuilt from the level sequences
+of its leaves alone: ordinals are running counts of repetition levels, missing values are entries whose definition level
+stays below the leaf's. Paths that a table doesn't need aren't shredded.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Node:
 
     name: str
     names: tuple[str, ...] = ()
+    rest: bool = False  # a leaf that keeps, as JSON, all fields of its parent that no other node names
     repeated: bool = False
     wrapped: bool = True
     children: tuple[Node, ...] = field(default=())
@@ -44,86 +46,97 @@ class Leaf:
     max_rep: int
     max_def: int
     values: list = field(default_factory=list)
-    reps: list[int] = field(default_factory=list)
-    defs: list[int] = field(default_factory=list)
+    reps: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    defs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 def _unwrap(v):
-    while isinstance(v, dict) and len(v) == 1 and "value" in v:
+    while type(v) is dict and len(v) == 1 and "value" in v:
         v = v["value"]
     return v
 
 
+def _unwrapped(column: list) -> list:
+    return [_unwrap(v) if type(v) is dict and len(v) == 1 else v for v in column]
+
+
+def _text(v) -> str:
+    return v if type(v) is str else json.dumps(v, ensure_ascii=False)
+
+
 class Shredder:
-    """Shreds records by a schema. root is the record itself; if repeated, a record may be a list."""
+    """Shreds records by a schema. root is the record itself; if repeated, a record may be a list. wanted: the leaf paths, of all
+    if none are named."""
 
-    def __init__(self, root: Node):
+    def __init__(self, root: Node, wanted: set[tuple[str, ...]] | None = None):
         self.root = root
         self.leaves: dict[tuple[str, ...], Leaf] = {}
-        self._plan(root, (), 0, 0)
+        self._plan(root, (), 0, 0, wanted)
+        self.nodes = {path[:k] for path in self.leaves for k in range(1, len(path) + 1)}
 
-    def _plan(self, node: Node, path: tuple[str, ...], rep: int, deep: int) -> None:
+    def _plan(self, node: Node, path: tuple[str, ...], rep: int, deep: int, wanted: set[tuple[str, ...]] | None) -> None:
         path = (*path, node.name)
         rep, deep = rep + node.repeated, deep + 1
-        if not node.children:
+        if not node.children and (wanted is None or path in wanted):
             self.leaves[path] = Leaf(path, rep, deep)
         for c in node.children:
-            self._plan(c, path, rep, deep)
+            self._plan(c, path, rep, deep, wanted)
 
-    def add(self, record) -> None:
-        self._emit(self.root, (), [record], 0, 0, 0, None)
+    def shred(self, records: list) -> None:
+        """A batch of records, in the place of any before it."""
+        self._emit(self.root, (), records, np.zeros(len(records), np.int64), np.zeros(len(records), np.int64), 0, [None] * len(records))
 
-    def _void(self, node: Node, path: tuple[str, ...], rep: int, deep: int) -> None:
+    def _emit(self, node: Node, path: tuple[str, ...], column: list, reps: np.ndarray, defs: np.ndarray, level: int, kinds: list) -> None:
+        """A node's column: what stands there in every entry of its parent, None if nothing does."""
         path = (*path, node.name)
+        if node.wrapped:
+            column = _unwrapped(column)
+        if node.repeated:
+            level += 1
+            sizes = np.array([len(v) if type(v) is list else 1 for v in column], np.int64)
+            lists, sizes = column, np.maximum(sizes, 1)  # an empty list has one entry, with nothing in it
+            column = [x for v in lists for x in (v or (None,) if type(v) is list else (v,))]
+            first = np.cumsum(sizes) - sizes
+            reps, at = np.repeat(reps, sizes), np.ones(int(sizes.sum()), bool)
+            at[first] = False
+            reps[at] = level
+            defs = np.repeat(defs, sizes)
+            kinds = [k for k, n in zip(kinds, sizes.tolist()) for _ in range(n)] if any(k is not None for k in kinds) else [None] * len(column)
+            if node.wrapped:
+                column = _unwrapped(column)
+        defs = defs + np.fromiter((v is not None for v in column), bool, len(column))
         if not node.children:
             leaf = self.leaves[path]
-            leaf.reps.append(rep)
-            leaf.defs.append(deep)
-        for c in node.children:
-            self._void(c, path, rep, deep)
-
-    def _emit(self, node: Node, path: tuple[str, ...], found: list, rep: int, level: int, deep: int, kind) -> None:
-        """found: the value in a list, or [] if the field isn't there."""
-        v = found[0] if found else None
-        if node.wrapped:
-            v = _unwrap(v)
-        items = ([x for x in v] if isinstance(v, list) else [] if v is None else [v]) if node.repeated else [v]
-        level += node.repeated
-        if not items or (v is None and not node.repeated):
-            self._void(node, path, rep, deep)
+            leaf.reps, leaf.defs, leaf.values = reps, defs, [_text(v) for v in column if v is not None]
             return
-        own = (*path, node.name)
-        for i, item in enumerate(items):
-            r = rep if i == 0 else level
-            if node.wrapped and node.repeated:
-                item = _unwrap(item)
-            if not node.children:
-                leaf = self.leaves[own]
-                leaf.reps.append(r)
-                leaf.defs.append(deep + (item is not None))
-                if item is not None:
-                    leaf.values.append(item if isinstance(item, str) else json.dumps(item, ensure_ascii=False))
-                continue
-            for c in node.children:
-                sub, k = self._find(item, c, kind)
-                self._emit(c, own, sub, r, level, deep + (item is not None), k)
+        for c in node.children:
+            if (*path, c.name) in self.nodes:
+                sub, own = self._column(node, column, c, kinds)
+                self._emit(c, path, sub, reps, defs, level, own)
 
     @staticmethod
-    def _find(item, c: Node, kind):
+    def _column(node: Node, column: list, c: Node, kinds: list) -> tuple[list, list]:
         if c.name == "kind":
-            return [kind] if kind is not None else [], kind
-        if isinstance(item, dict):
-            empty = None  # the first that is there but null
-            for name in c.names or (c.name,):
-                open_end = name.startswith("*")
-                for k in [k for k in item if k.endswith(name[1:])] if open_end else [name] if name in item else []:
-                    hit = [item[k]], k if open_end else kind
-                    if (_unwrap(item[k]) if c.wrapped else item[k]) is not None:
-                        return hit
-                    empty = empty or hit
-            if empty:
-                return empty
-        return [], kind
+            return [k if v is not None else None for k, v in zip(kinds, column)], kinds
+        if c.rest:
+            named = {n for x in node.children if not x.rest for n in x.names or (x.name,)}
+            return [({k: x for k, x in v.items() if k not in named} or None) if type(v) is dict else None for v in column], kinds
+        names = c.names or (c.name,)
+        if len(names) == 1 and not names[0].startswith("*"):
+            name = names[0]
+            return [v.get(name) if type(v) is dict else None for v in column], kinds
+        found = [_find(v, c, k) if type(v) is dict else (None, k) for v, k in zip(column, kinds)]
+        return [x for x, _ in found], [k for _, k in found]
+
+
+def _find(item: dict, c: Node, kind):
+    """The first of the node's names that isn't null, and the key that stands for an open one."""
+    for name in c.names:
+        open_end = name.startswith("*")
+        for k in [k for k in item if k.endswith(name[1:])] if open_end else [name] if name in item else []:
+            if (_unwrap(item[k]) if c.wrapped else item[k]) is not None:
+                return item[k], k if open_end else kind
+    return None, kind
 
 
 def ordinals(reps: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -144,13 +157,13 @@ def rebuild(leaves: list[Leaf], at: Leaf, depth: int, defined: int) -> dict[str,
     """
     out: dict[str, object] = {}
     for leaf in leaves:
-        reps, defs = np.array(leaf.reps, np.int64), np.array(leaf.defs, np.int64)
+        defs = leaf.defs
         if leaf is at:
-            record, places = ordinals(reps, depth)
+            record, places = ordinals(leaf.reps, depth)
             out["record"], out["places"], out["there"] = record, places, defs >= defined
         values = np.full(len(defs), None, object)
         full = defs == leaf.max_def
-        values[full] = np.array(leaf.values, object) if leaf.values else None
+        values[full] = leaf.values
         out["/".join(leaf.path)] = values
     return out
 
@@ -183,7 +196,8 @@ VIEWPORT = Node(
                                 Node("interactionId"),
                                 Node("containerViewId"),
                                 _CAMPAIGN,
-                                Node("elements", repeated=True, children=(Node("elementId"), Node("elementIdType"), Node("elementIndex"), Node("browseItemId"), _CAMPAIGN)),
+                                Node("elements", repeated=True, children=(Node("elementId"), Node("elementIdType"), Node("elementIndex"), Node("browseItemId"), _CAMPAIGN, Node("rest", rest=True, wrapped=False))),
+                                Node("rest", rest=True, wrapped=False),
                             ),
                         ),
                     ),
@@ -207,23 +221,22 @@ def readable(text: str | None):
 
 #: The three flat tables. Every table has row_id, event_pos; elements and campaigns have element_pos, -1 for the event's own.
 SCHEMAS = {
-    "events": "row_id bigint, event_pos int, kind string, deviceId string, platform string, appVersion string, sessionId string, pageViewId string, interactionId string, containerViewId string",
-    "elements": "row_id bigint, event_pos int, element_pos int, elementId string, elementIdType string, elementIndex string, browseItemId string",
+    "events": "row_id bigint, event_pos int, kind string, deviceId string, platform string, appVersion string, sessionId string, pageViewId string, interactionId string, containerViewId string, rest string",
+    "elements": "row_id bigint, event_pos int, element_pos int, elementId string, elementIdType string, elementIndex string, browseItemId string, rest string",
     "campaigns": "row_id bigint, event_pos int, element_pos int, assetId string, flightId string",
 }
 _BODY = "event/channel/version/body"
 
 
 def _batch(ids: list, payloads: list, which: str) -> pa.RecordBatch:
-    shredder, kept = Shredder(VIEWPORT), []
-    for i, p in zip(ids, payloads):
-        v = readable(p)
-        if isinstance(v, (dict, list)) and v:
-            shredder.add(v)
-            kept.append(i)
+    columns = [c.split()[0] for c in SCHEMAS[which].split(", ")]
+    holders = {"events": [_BODY], "elements": [f"{_BODY}/elements"], "campaigns": [f"{_BODY}/campaign", f"{_BODY}/elements/campaign"]}[which]
+    shredder = Shredder(VIEWPORT, {(*h.split("/"), c) for h in holders for c in columns})
+    records = [(i, v) for i, v in zip(ids, map(readable, payloads)) if isinstance(v, (dict, list)) and v]
+    kept = [i for i, _ in records]
+    shredder.shred([v for _, v in records])
     # all records of the batch are rebuilt at once, from levels
     leaf = {"/".join(k): x for k, x in shredder.leaves.items()}
-    columns = [c.split()[0] for c in SCHEMAS[which].split(", ")]
     parts: list[dict[str, np.ndarray]] = []
     own = np.array(kept, object)
     there = 1
@@ -255,7 +268,7 @@ def shred_viewport(df: DataFrame, which: str, *, row_id: str = "row_id", payload
     """The flat table ``events``, ``elements`` or ``campaigns`` of JSON viewport messages, one per row of df.
 
     event_pos is the event's place in the payload (0 if it holds one), element_pos the element's place in its list, from 0,
-    -1 for the campaign of the event itself. A lone object in the place of a list is a list of one; ``{"value": x}`` and x
+    -1 for the campaign of the event itself; rest holds, as JSON, the fields that have no column of their own. A lone object in the place of a list is a list of one; ``{"value": x}`` and x
     are the same; an element that is null keeps its place but gives no row. All values are text, absent ones null. Payloads
     that are null, no JSON after one or two decodings, or neither object nor list give no rows; repeated rows come out
     repeated; empty tables give none; other columns aren't read. No shuffle.

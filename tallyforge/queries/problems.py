@@ -111,6 +111,7 @@ QUERIES = {
     "p3_events": _shredded("events"),
     "p3_elements": _shredded("elements"),
     "p3_campaigns": _shredded("campaigns"),
+    "p3_unreadable": lambda spark, d: shredding.unreadable_payloads(table(spark, d, "viewport_event")),
     "p4_found": p4_found,
     "p4_broken_fields": p4_broken_fields,
     "p4_loaded_customers": p4_loaded_customers,

@@ -85,6 +85,11 @@ SELECT load_id, column_name, round(divergence, 6) AS divergence, round(from_prev
 SELECT 'orders_qa' AS child_table, strftime(t, '%Y-%m') AS month, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY ALL""",
     "p3_found": _CAMPAIGNS + """
 SELECT row_id, event_pos::INT AS event_pos, element_pos::INT AS element_pos, c ->> '$.assetId' AS asset_id FROM every WHERE c ->> '$.assetId' <> ''""",
+    "p3_campaigns": _CAMPAIGNS + """
+SELECT row_id, event_pos::INT AS event_pos, element_pos::INT AS element_pos, c ->> '$.assetId' AS "assetId", c ->> '$.flightId' AS "flightId" FROM every WHERE json_type(c) <> 'NULL'""",
+    "p3_unreadable": """
+WITH once AS (SELECT row_id, CASE WHEN json_valid(payload) THEN CASE json_type(payload) WHEN 'VARCHAR' THEN payload::JSON ->> '$' ELSE payload END END AS p FROM viewport_event)
+SELECT row_id FROM once WHERE coalesce(CASE WHEN json_valid(p) THEN json_type(p) END, '') NOT IN ('OBJECT', 'ARRAY')""",
     "p4_found": _LINES + r"""
 SELECT 'raw_lines' AS source_table, row_id, CASE WHEN NOT well THEN 'quoting' WHEN have <> want THEN 'column_count' WHEN NOT unbroken THEN 'quoting' ELSE 'value' END AS reason FROM n WHERE NOT well OR have <> want OR NOT good
 UNION ALL SELECT 'customers_qa', row_id, 'value' FROM customers_qa WHERE trim(height) <> '' AND NOT regexp_full_match(height, '-?[0-9]+(?:\.[0-9]{1,2})?')

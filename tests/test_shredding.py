@@ -51,8 +51,7 @@ def test_levels_round_trip():
     r = random.Random(3)
     records = [[{"b": [{"c": str(r.random())} if r.random() < 0.8 else {} for _ in range(r.randrange(4))]} for _ in range(r.randrange(1, 4))] for _ in range(200)]
     s = Shredder(schema)
-    for x in records:
-        s.add(x)
+    s.shred(records)
     leaf = s.leaves[("a", "b", "c")]
     reps, defs = np.array(leaf.reps), np.array(leaf.defs)
     record, (first, second) = shredding.ordinals(reps, 2)
@@ -67,6 +66,13 @@ def test_levels_round_trip():
     assert rebuilt == records
 
 
+def test_fields_without_a_column_are_kept(spark):
+    body = {"deviceId": "d", "experiments": {"value": [{"experimentId": "x"}]}, "odd": None, "elements": [{"elementId": "e", "note": 1}, {"elementId": "f"}]}
+    rows = [(1, json.dumps(wrap("pageViewValueValue", body)), "", ""), (2, json.dumps(wrap("pageViewValueValue", {"deviceId": "d"})), "", "")]
+    assert [(r[0], json.loads(r[-1]) if r[-1] else None) for r in table(spark, rows, "events")] == [(1, {"experiments": {"value": [{"experimentId": "x"}]}, "odd": None}), (2, None)]
+    assert [r[3:] for r in table(spark, rows, "elements")] == [("e", None, None, None, '{"note": 1}'), ("f", None, None, None, None)]
+
+
 def test_null_names_before_the_filled_one(spark):
     body = {"elements": [{"campaign": {"assetId": "a"}}]}
     full = wrap("containerViewValueValue", body)
