@@ -104,7 +104,7 @@ class Shredder:
             kinds = [k for k, n in zip(kinds, sizes.tolist()) for _ in range(n)] if any(k is not None for k in kinds) else [None] * len(column)
             if node.wrapped:
                 column = _unwrapped(column)
-        defs = defs + np.fromiter((v is not None for v in column), bool, len(column))
+        defs = defs + np.array([v is not None for v in column], bool)
         if not node.children:
             leaf = self.leaves[path]
             leaf.reps, leaf.defs, leaf.values = reps, defs, [_text(v) for v in column if v is not None]

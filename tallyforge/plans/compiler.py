@@ -7,6 +7,7 @@ patterns are globs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,7 +22,7 @@ from tallyforge.plans.syntax import Among, AmongRows, Between, Binary, Call, Eve
 from tallyforge.plans.values import Val
 
 AGGREGATES = {"count", "sum", "avg", "min", "max", "topn", "cardinality"}
-#: Words that say nothing in a text search.
+#: This engine's own choice of words that say nothing in a text search.
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
@@ -300,19 +301,20 @@ class Compiler:
         return F.exists(V.as_list(a), lambda x: x.rlike(pattern)) if a.is_list else V.as_text(a).rlike(pattern)
 
 
-def words_of(c: Column) -> Column:
-    """The words of a text as a search sees them."""
-    return F.split(F.lower(c), r"[^\p{L}\p{N}\-_']+")
+#: What words are made of, as a search sees them.
+_WORD = r"\p{L}\p{N}\p{Mc}\p{Mn}\-_'"
 
 
 def token_search(c: Column, phrase: str) -> Column:
-    """Whether the text has all the phrase's words that say something."""
-    import re
-
+    """Whether the text has all the phrase's words that say something. A text is looked through for a word as it stands first, and
+    only where that is found for the word on its own."""
     terms = [w for w in re.split(r"[^\w\-']+", phrase.lower()) if w and w not in STOP_WORDS]
     if not terms:
         return F.lit(False)
-    return F.size(F.array_intersect(words_of(c), F.array(*(F.lit(t) for t in dict.fromkeys(terms))))) == len(dict.fromkeys(terms))
+    low, found = F.lower(c), F.lit(True)
+    for t in dict.fromkeys(terms):
+        found &= F.contains(low, F.lit(t)) & low.rlike(rf"(?<![{_WORD}]){re.escape(t)}(?![{_WORD}])")
+    return found
 
 
 def has_aggregate(e) -> bool:

@@ -125,7 +125,7 @@ _filter("p28_includes", "customers_qa", ["row_id"], "FILTER AND ( INCLUDE elders
 _filter("p29_missing_operands", "customers_qa", ["row_id"], 'FILTER OR ( nowhere == "x", city != "Port Halstone", nothing > 3 )', "SELECT row_id FROM customers_qa WHERE city IS DISTINCT FROM 'Port Halstone'")
 
 
-@make("p13_token_search", "SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\\pL\\pN\\-_'']+'), ['token', 'race'])")
+@make("p13_token_search", "SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\\pL\\pN\\p{Mc}\\p{Mn}\\-_'']+'), ['token', 'race'])")
 def _(spark, d):
     df = table(spark, d, "documents")
     c = Compiler(scope_of(df), "compat", searchable=frozenset({"text"}))
