@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.columnar import MARKS, NO_VALUE, WHITE_SPACE
+from tallyforge.session import checkpointed
 
 
 def mask(value: Column) -> Column:
@@ -94,7 +95,8 @@ def placed(df: DataFrame, columns: list[str], numbers: tuple[str, ...] = ()) ->
 
 def mask_counts(df: DataFrame, columns: list[str], load: str, rules: tuple[Rule, ...] = ()) -> DataFrame:
     """load, column_name, mask (null for missing values), and of the values of each: rows, distinct_values, top_value_rows, least and
-    greatest; of those in their rule's range within_rows, and if it has one their number of rows and total."""
+    greatest; of those in their rule's range within_rows, and if it has one their number of rows and total. Kept in the
+    checkpoint folder, since all that follows goes over it more than once."""
     value, name = F.col("value"), F.col("column_name")
     counts = value_counts(df, columns, load)
     within, number = F.lit(True), F.lit(None).cast("double")
@@ -105,7 +107,7 @@ def mask_counts(df: DataFrame, columns: list[str], load: str, rules: tuple[Rule,
     place = placed(df, columns, tuple(r.column for r in rules if r.low is not None))
     made = counts.select("load", "column_name", F.when(~is_missing(value), mask(value)).alias("mask"), "n", within.alias("ok"), number.alias("x"), place.alias("place"))
     here, ok = F.col("mask").isNotNull(), F.col("ok")
-    return made.groupBy("load", "column_name", "mask").agg(
+    out = made.groupBy("load", "column_name", "mask").agg(
         F.sum("n").alias("rows"),
         F.count("mask").alias("distinct_values"),
         F.max(F.when(here, F.col("n"))).alias("top_value_rows"),
@@ -115,6 +117,7 @@ def mask_counts(df: DataFrame, columns: list[str], load: str, rules: tuple[Rule,
         F.min(F.when(here, F.col("place"))).alias("least"),
         F.max(F.when(here, F.col("place"))).alias("greatest"),
     )
+    return checkpointed(out)
 
 
 def mined_masks(masks: DataFrame, *, cover: float = 0.98) -> DataFrame:
