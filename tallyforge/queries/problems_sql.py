@@ -57,6 +57,21 @@ f AS (SELECT load_id, column_name, missing / rows AS a, malformed / nullif(rows
 m AS (SELECT column_name, median(a) AS ma, median(b) AS mb, median(c) AS mc, median(d) AS md FROM f GROUP BY ALL)
 """
 
+# values of a cell: separators count outside quotes, and everywhere if the quotes don't close
+_VALUES = rf"""
+WITH cell AS (
+  SELECT 'customers_qa' AS source_table, row_id, trim(phoneType, '{WHITE_SPACE}') AS c FROM customers_qa UNION ALL
+  SELECT 'users', row_id, trim(interests, '{WHITE_SPACE}') FROM users),
+bare AS (SELECT source_table, row_id, CASE WHEN regexp_full_match(c, '(?s)\[.*\]|\{{.*\}}|\(.*\)') THEN trim(c[2:-2], '{WHITE_SPACE}') ELSE c END AS c FROM cell),
+full_ AS (SELECT *, regexp_replace(c, '\\["\\]', '', 'g') AS q FROM bare WHERE c <> '' AND lower(c) NOT IN ({_NO_VALUE}) AND NOT regexp_full_match(c, '{MARKS}+')),
+parts AS (SELECT source_table, row_id, CASE WHEN (length(q) - length(replace(q, '"', ''))) % 2 = 1 THEN regexp_split_to_array(c, '[,;|/\t\r\n]')
+    ELSE regexp_extract_all(c, '(?s)(?:[^",;|/\t\r\n\\]|\\["\\]|\\|"(?:[^"\\]|\\.)*")+') END AS ps FROM full_),
+trimmed AS (SELECT source_table, row_id, list_transform(ps, lambda p: trim(p, '{WHITE_SPACE}')) AS ps FROM parts),
+plain AS (SELECT source_table, row_id, list_filter(list_transform(ps, lambda p: CASE WHEN length(p) >= 2 AND starts_with(p, '"') AND ends_with(p, '"')
+    THEN trim(replace(regexp_replace(p[2:-2], '\\(["\\/])', '\1', 'g'), '""', '"'), '{WHITE_SPACE}') ELSE p END), lambda p: p <> '') AS ps FROM trimmed)
+SELECT source_table, row_id, generate_subscripts(ps, 1)::INT - 1 AS item_pos, unnest(ps) AS item FROM plain WHERE len(ps) >= 2
+"""
+
 # masks of every column, load by load
 _TEXTS = {"isActive": "isActive::VARCHAR", "isLegalAge": "isLegalAge::VARCHAR", "age": "age::VARCHAR", "numFamilyMembers": "numFamilyMembers::VARCHAR", "rownum": "rownum::VARCHAR", "feed_id": "feed_id::VARCHAR", "loaded_at": r"regexp_replace(strftime(loaded_at, '%Y-%m-%d %H:%M:%S.%f'), '\.?0+$', '')"}
 _COLUMNS = ("cust_id", "first_name", "last_name", "address", "city", "state", "zip", "createdAtTimestamp", "timestamp_micro", "timestamp_millis", "hashedCustId", "phone", "phoneType", "isActive", "birthdate", "isLegalAge", "age", "height", "numFamilyMembers", "rownum", "feed_id", "loaded_at")
@@ -71,6 +86,7 @@ o AS (SELECT column_name, mask, sum(rows)::BIGINT AS rows FROM k WHERE mask IS N
 _JS = "greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)"
 
 SQL = {
+    "p6_found": _VALUES,
     "p5_masks": _MASKS + "SELECT load_id, column_name, mask, rows, distinct_values FROM k",
     "p5_rare_patterns": _MASKS + """, r AS (SELECT *, sum(rows) OVER (PARTITION BY column_name ORDER BY rows DESC) - sum(rows) OVER (PARTITION BY column_name, rows) AS above, sum(rows) OVER (PARTITION BY column_name) AS whole FROM o),
 t AS (SELECT column_name, min(rows) AS least FROM r WHERE above < 0.98 * whole GROUP BY ALL)
