@@ -38,6 +38,8 @@ class Function:
 
 
 REGISTRY: dict[str, Function] = {}
+#: Aggregates of one's own: a typed column in, the typed aggregate out.
+AGGREGATE_REGISTRY: dict[str, Callable[[Val], Val]] = {}
 
 
 def function(*names: str, args: tuple[int, int | None]):
@@ -56,6 +58,16 @@ def register(name: str, build: Callable[..., Val], least: int = 0, most: int | N
     REGISTRY[name.lower()] = Function(name.lower(), least, most, build)
 
 
+def register_aggregate(name: str, build: Callable[[Val], Val]) -> None:
+    """Add an aggregate of one's own of one column, made of Spark's; it can't take the place of a built-in one."""
+    from tallyforge.plans.compiler import AGGREGATES
+
+    if name.lower() in AGGREGATES - set(AGGREGATE_REGISTRY):
+        raise WrongArguments(f"{name} is built in")
+    AGGREGATE_REGISTRY[name.lower()] = build
+    AGGREGATES.add(name.lower())
+
+
 def lookup(name: str) -> Function:
     import tallyforge.functions.library  # noqa: F401  the built-in ones register themselves
 

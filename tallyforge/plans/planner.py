@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.operators import relational
+from tallyforge.functions.registry import AGGREGATE_REGISTRY
 from tallyforge.plans import values as V
 from tallyforge.plans.compiler import AGGREGATES, Compiler, NotAllowed, Scope, UnknownColumn, has_aggregate, output_name
 from tallyforge.plans.syntax import AmongRows, Between, Binary, Call, Item, Join, Literal, Name, Select, Star, Table, Unary, replace_nodes, walk
@@ -299,6 +300,9 @@ class _Plan:
         if len(x.args) != 1:
             raise NotAllowed(f"{x.name} takes one column here")
         v = c.value(x.args[0])
+        if x.name in AGGREGATE_REGISTRY:
+            made = AGGREGATE_REGISTRY[x.name](v)
+            return made.col, made.type
         if x.name == "cardinality":
             return F.approx_count_distinct(v.col), T.LongType()
         if self.p.compat and (v.is_text or v.is_list) and x.name in ("sum", "avg", "min", "max"):

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.engine import Engine
+from tallyforge.functions.registry import register_aggregate
 from tallyforge.operators import relational
+from tallyforge.plans.values import Val
 from tallyforge.queries.reference import engine, make
 from tallyforge.session import scratch, table
 from tallyforge.sinks import register_sink
@@ -144,6 +146,27 @@ def _(spark, d):
     return spark.createDataFrame([_by_day(spark, d).store.verify("my_events")], "rows bigint, repeated_keys bigint, misplaced bigint")
 
 
+@make("d08_repair", "SELECT c_custkey, CASE WHEN c_nationkey = 4 THEN 'later' ELSE c_name END AS c_name FROM customer")
+def _(spark, d):
+    """Rows of a nation come once more, in a partition that isn't theirs."""
+    e = stored(spark, d, "customer", "c_custkey", _CUSTOMER)
+    stray = e.store.read("my_customer", internal=True).where("c_nationkey = 4").withColumns({"_part": F.lit("00000"), "c_name": F.lit("later"), "_rownum": F.col("_rownum") + 10**15})
+    stray.write.mode("append").partitionBy("_part").parquet(f"{e.store.root}/my_customer/data")
+    e.store.repair("my_customer")
+    return e.sql("SELECT c_custkey, c_name FROM my_customer")
+
+
+@make("d08_status", "SELECT 'my_events' AS \"table\", count(DISTINCT ts::DATE)::INT AS partitions, true AS filled FROM events")
+def _(spark, d):
+    return _by_day(spark, d).store.status().selectExpr("table", "partitions", "bytes > 0 as filled")
+
+
+@make("a17_own_aggregate", "SELECT o_custkey, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    register_aggregate("spread", lambda v: Val(F.max(v.col) - F.min(v.col), v.type))
+    return engine(spark, d).sql("SELECT o_custkey, spread(o_totalprice) AS spread FROM orders GROUP BY o_custkey")
+
+
 # Files
 
 

@@ -424,6 +424,33 @@ class TableStore:
         out = {"rows": df.count(), "repeated_keys": df.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count(), "misplaced": df.where(F.col(PART) != self._part(spec)).count()}
         return out | {f"orphans of {k}": v.count() for k, v in self.orphans(table).items()}
 
+    def repair(self, table: str) -> int:
+        """Put rows that verify finds misplaced where they belong, and of rows with one key keep the one numbered last. Returns the
+        rows that were misplaced or too many."""
+        spec = self.spec(table)
+        df = self._raw(spec).withColumn("_own", self._part(spec))
+        many = df.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        same = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"m.`{k}`")) for k in spec.key]
+        repeated = df.alias("d").join(many.alias("m"), same, "left_semi")
+        bad = repeated.unionByName(df.where(F.col(PART) != F.col("_own"))).select(F.explode(F.array(PART, "_own")).alias("p"))
+        touched = [r[0] for r in bad.distinct().collect()]  # at most the table's partitions
+        if not touched:
+            return 0
+        here = self._among(df, touched)
+        rest = [c for c in df.columns if c not in (*spec.key, PART, "_own")]
+        last = here.groupBy(*spec.key).agg(F.max_by(F.struct(*rest, "_own"), ROWNUM).alias("_v"), F.count(F.lit(1)).alias("_n"), F.sum((F.col(PART) != F.col("_own")).cast("bigint")).alias("_off"))
+        last = checkpointed(last)
+        wrong = last.agg(F.sum(F.greatest(F.col("_n") - 1, F.col("_off")))).first()[0]
+        fixed = last.select(*spec.key, "_v.*").withColumnRenamed("_own", PART)
+        self._replace(spec, fixed.select(*(a.name for a in spec.attributes), ROWNUM, PART), touched)
+        release(last)
+        return int(wrong or 0)
+
+    def status(self) -> DataFrame:
+        """Of every table: its partitions and bytes, and the specification that holds, as JSON."""
+        rows = [(t, len(self._part_names(s)), self._size(s), json.dumps(asdict(s))) for t in self.tables() for s in [self.spec(t)]]
+        return self.spark.createDataFrame(rows, "table string, partitions int, bytes bigint, specification string")
+
     def refresh(self) -> None:
         """Forget what is known of specifications and files, after others changed them."""
         self._specs.clear()

@@ -1,7 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import store as S
 from tallyforge.engine import Engine
+from tallyforge.functions.registry import WrongArguments, register_aggregate
+from tallyforge.plans import values as V
 from tallyforge.types import TableSpec
 
 SPEC = {"tableName": "t", "primaryKey": "id", "attributes": [{"fieldName": "id", "type": "Integer"}, {"fieldName": "word"}, {"fieldName": "owner", "foreignKey": "t.id"}]}
@@ -45,3 +48,32 @@ def test_emptied_partitions_go_in_the_same_job(spark, tmp_path, monkeypatch):
     assert store.read("t").count() == 0 and store.partitions("t").count() == 0
     store.insert("t", spark.range(3).selectExpr("id", "'y' as word"))
     assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 2]
+
+
+def test_repair_and_status(spark, tmp_path):
+    store = S.TableStore(spark, str(tmp_path))
+    store.create(TableSpec.from_dict(SPEC))
+    store.insert("t", spark.range(60).selectExpr("id", "concat('w', id) as word"))
+    assert store.repair("t") == 0
+    # rows of other partitions, and a later copy of a key, written past the store
+    raw = store.read("t", internal=True)
+    stray = raw.where("id in (3, 4)").withColumn(S.PART, F.lit("00000")).withColumn("word", F.lit("later")).withColumn(S.ROWNUM, F.col(S.ROWNUM) + 10**12)
+    stray.write.mode("append").partitionBy(S.PART).parquet(str(tmp_path / "t" / "data"))
+    before = store.verify("t")
+    assert before["rows"] == 62 and before["repeated_keys"] == 2 and before["misplaced"] >= 1
+    assert store.repair("t") >= 2
+    after = store.verify("t")
+    assert (after["rows"], after["repeated_keys"], after["misplaced"]) == (60, 0, 0)
+    assert sorted(map(tuple, store.read("t").select("id", "word").collect())) == [(i, "later" if i in (3, 4) else f"w{i}") for i in range(60)]
+    row = store.status().first()
+    assert row.table == "t" and row.partitions == 8 and row.bytes > 0 and '"buckets": 8' in row.specification
+
+
+def test_aggregates_of_ones_own(spark):
+    register_aggregate("spread", lambda v: V.number((F.max(v.col) - F.min(v.col)).cast("double")))
+    e = Engine(spark, compat=False)
+    e.register("t", spark.createDataFrame([("a", 1), ("a", 5), ("b", 2), ("b", None)], "k string, n int"))
+    got = e.sql("select k, spread(n) as s from t group by k having spread(n) >= 0 order by k").collect()
+    assert [tuple(r) for r in got] == [("a", 4.0), ("b", 0.0)]
+    with pytest.raises(WrongArguments):
+        register_aggregate("sum", lambda v: v)
