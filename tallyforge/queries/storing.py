@@ -334,6 +334,21 @@ def _(spark, d):
     return spark.read.parquet(f"{view}/data").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
+@make("r10_late_rows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    """Every event comes once more, sixty days late, when its window is long closed. Rows between and behind move the watermark
+    on: it holds for late rows a batch after it closes windows."""
+    where = scratch(spark, "stream")
+    df = table(spark, d, "events").selectExpr(*_EVENT)
+    mark = lambda days: df.agg(F.max("ts").alias("ts")).selectExpr("-1L as event_id", f"ts + interval {days} days as ts", "'mark' as event_type", "cast(0 as decimal(18,4)) as value")
+    for part in (df, mark(1), df.withColumn("ts", F.expr("ts - interval 60 days")), mark(10)):  # a batch each
+        ingest.publish(part, where, "parquet", 1)
+    stream = ingest.file_stream(spark, where, df.schema, "parquet", files_per_batch=1)
+    view = scratch(spark, "view")
+    ingest.continuous_view(ingest.windowed(stream, "ts", "1 hour", ["event_type"], {"n": "count(1)"}, lateness="2 hours"), f"{view}/data", f"{view}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{view}/data").where("event_type <> 'mark'").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
 @make("r06_first_of_key", "SELECT event_id, event_type FROM events")
 def _(spark, d):
     """Every event comes twice; the second is dropped."""
