@@ -1,6 +1,7 @@
 """SQL equivalents of the data problems' queries, where SQL can state them."""
 
 from tallyforge.columnar import MARKS, NO_VALUE, WHITE_SPACE
+from tallyforge.operators.rowcheck import CUSTOMER_ROW, USER_ROW
 
 _ORPHANS = """
 WITH o AS (SELECT row_id, lower(trim(cust_id)) k, createdAtTimestamp t FROM orders_qa WHERE trim(cust_id) <> ''),
@@ -85,7 +86,21 @@ o AS (SELECT column_name, mask, sum(rows)::BIGINT AS rows FROM k WHERE mask IS N
 """
 _JS = "greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)"
 
+
+
+def _loaded(target: str, fields: tuple[str, ...]) -> str:
+    """The fields of a target's valid records; empty ones are null."""
+    columns = ", ".join(f'fs[{i}] AS "{f}"' for i, f in enumerate(fields, 1))
+    value = """CASE WHEN starts_with(f, '"') THEN replace(f[2:-2], '""', '"') ELSE f END"""
+    return _LINES + rf"""
+SELECT row_id, {columns} FROM (
+  SELECT row_id, list_transform(regexp_extract_all(line || ',', '(?s)("(?:[^"]|"")*"|[^,]*),', 1), lambda f: nullif({value}, '')) AS fs
+  FROM n WHERE target_table = '{target}' AND well AND have = want AND unbroken AND good)"""
+
+
 SQL = {
+    "p4_loaded_customers": _loaded("customers_qa", CUSTOMER_ROW.fields),
+    "p4_loaded_users": _loaded("users", USER_ROW.fields),
     "p6_found": _VALUES,
     "p5_masks": _MASKS + "SELECT load_id, column_name, mask, rows, distinct_values FROM k",
     "p5_rare_patterns": _MASKS + """, r AS (SELECT *, sum(rows) OVER (PARTITION BY column_name ORDER BY rows DESC) - sum(rows) OVER (PARTITION BY column_name, rows) AS above, sum(rows) OVER (PARTITION BY column_name) AS whole FROM o),
